@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import residue
+from . import mixture, packing, residue, spelling
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,5 +23,53 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that are another row in another spelling, with the row that stands for them."""
+    parts = []
+    for listing, fields in spelling.LISTINGS.items():
+        rows = table(spark, folder, listing, "row_id", *fields)
+        parts.append(spelling.copies(rows, "row_id", fields).select(F.lit(listing).alias("listing"), "keep_id", "row_id"))
+    return parts[0].unionByName(parts[1])
+
+
+def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record once, with the number of its copies."""
+    parts = []
+    for listing, fields in spelling.LISTINGS.items():
+        rows = table(spark, folder, listing, "row_id", *fields)
+        parts.append(spelling.collapse(rows, "row_id", fields).select(F.lit(listing).alias("listing"), "keep_id", "copies"))
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that had to be split over containers."""
+    placed = packing.pack(table(spark, folder, "documents", "doc_id", "text"))
+    return placed.filter("piece = 1").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each piece of each document and the room it has left."""
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that can't reach their share of a mix as large as all documents."""
+    report = mixture.source_report(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+    return report.filter("short").select("source_name")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mixture.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached."""
+    return mixture.reached(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_collapsed, p3_found, p3_clean, p6_found, p6_containers, p7_found, p7_mix, p7_shares)
+}
 SQL: dict[str, str] = {}
