@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixture, packing, residue, spelling
+from . import mixture, packing, pii, residue, spelling
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,8 +68,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.reached(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where personal items stand in the documents."""
+    return pii.find(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "name_list"))
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with typed placeholders in place of personal items."""
+    return pii.replace(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "name_list"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_collapsed, p3_found, p3_clean, p6_found, p6_containers, p7_found, p7_mix, p7_shares)
+    for f in (p2_found, p2_collapsed, p3_found, p3_clean, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_redacted)
 }
 SQL: dict[str, str] = {}
