@@ -16,6 +16,11 @@ def instant_us(text: Column) -> Column:
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp; one without zone is in the session's."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def standing(rows: DataFrame, key: str, ts: str, row_id: str) -> DataFrame:
     """Of rows with the same key and instant only the one with the highest id.
 

@@ -6,8 +6,8 @@ index of the last snapshot with the keys and hashes of the new one; that alone
 tells added and removed keys, and which keys may have changed. Only for the latter
 are *old values fetched* (the value column of the index is not read for anything
 else) and compared field by field. Then the indexes *swap*: the new snapshot's
-index is what the next one is probed against. :class:`SnapshotIndex` does one step
-for one delivery; :func:`changes` unrolls all steps of a history at once, since the
+index is what the next one is probed against. :class:`.delivery.SnapshotIndex` does one
+step for one delivery; :func:`changes` unrolls all steps of a history at once, since the
 swap only says which snapshot's index is read by which probe.
 """
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, map_queries, page_queries, web_queries
 
-_MODULES = (core,)
+_MODULES = (core, web_queries, map_queries, page_queries)
 
 
 def core_queries() -> dict:
