@@ -163,6 +163,6 @@ def reached(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
         F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("mix_tokens")
     )
     rows = source_report(documents, targets, **options).join(got, "key", "left").fillna(0, ["uses", "most_uses", "mix_tokens"])
-    whole = got.agg(F.sum("mix_tokens").alias("whole"))
-    share = F.when(F.col("whole") > 0, F.col("mix_tokens") / F.col("whole")).otherwise(F.lit(0.0))
-    return rows.join(F.broadcast(whole)).withColumn("reached_share", share).drop("key", "whole")
+    whole = F.sum("mix_tokens").over(Window.partitionBy(F.lit(1)))  # one row per named source
+    share = F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(F.lit(0.0))
+    return rows.withColumn("reached_share", share).drop("key")
