@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.policy import detect_challenge
 from ..session import staged
 from .extract import discover_links
+from .graph import dense_rank
 from .jobs import Job
 
 #: Pages per run, sitemaps and their URLs per target.
@@ -32,11 +33,15 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
     ``dead`` and ``rest`` (what the budget left in the queue). A level takes the queue,
     drops what was seen, looks its pages up, and queues their links: pagination at the
     same depth, links one deeper. ``allowed``: a function of a url column for robots
-    rules. ``seen`` carries the visits of earlier runs; the budget is this run's own.
+    rules. ``seeds`` (url, and depth where a queue is resumed) and ``seen`` carry earlier
+    runs on; the budget is this run's own.
     """
     spark = pages.sparkSession
     start = spark.createDataFrame([(job.target, 0, 0)], "url string, depth int, seq bigint")
-    queue = start if seeds is None else start.unionByName(seeds.select("url", F.lit(0).alias("depth"), (F.monotonically_increasing_id() + 1).alias("seq")))
+    queue = start
+    if seeds is not None:
+        depth = F.col("depth") if "depth" in seeds.columns else F.lit(0)
+        queue = staged(start.unionByName(seeds.select("url", depth.cast("int").alias("depth"), (F.monotonically_increasing_id() + 1).alias("seq"))), "queue")
     done = staged((seen.select("url") if seen is not None else spark.createDataFrame([], "url string")), "seen")
     visited, blocked, dead, level, left = [], [], [], 0, budget
     while left > 0:
@@ -56,8 +61,9 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
         links = discover_links(good.select("url", "depth", "html"), job)
         order = links.join(good.select("url", F.col("seq").alias("_s")), "url")
         after = first_seen(queue).join(taken.select("url"), "url", "left_anti").join(done, "url", "left_anti")
-        seq = F.col("_s") * F.lit(1_000_000) + F.col("pos") + F.lit((level + 1) * 10**15)
-        queue = staged(after.select("url", "depth", "seq").unionByName(order.select(F.col("link").alias("url"), "depth", seq.alias("seq"))), "queue")
+        ranked = dense_rank(order.select(F.col("link").alias("url"), "depth", F.struct("_s", "pos").alias("_k")), "_k", "seq")
+        ranked = ranked.withColumn("seq", F.col("seq") + F.lit((level + 1) << 40))
+        queue = staged(after.select("url", "depth", "seq").unionByName(ranked.select("url", "depth", "seq")), "queue")
         done = staged(done.unionByName(taken.select("url")), "seen")
         level += 1
     union = lambda parts, empty: _union(parts) if parts else spark.createDataFrame([], empty)

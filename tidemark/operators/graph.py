@@ -28,7 +28,7 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     none = lambda kind: F.lit(None).cast(kind)
     kinds = dict(edges.dtypes)
     frontier = staged(
-        _dense(start, "_k", "order").select("node", F.lit(0).alias("depth"), "order", none(kinds["src"]).alias("parent"), none(kinds["seq"]).alias("edge")), "levels"
+        dense_rank(start, "_k", "order").select("node", F.lit(0).alias("depth"), "order", none(kinds["src"]).alias("parent"), none(kinds["seq"]).alias("edge")), "levels"
     )
     parts, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
@@ -40,7 +40,7 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
         nxt = best.select(
             F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.struct("b.order", "b.edge").alias("_k"), F.col("b.parent").alias("parent"), F.col("b.edge").alias("edge")
         )
-        ranked = _dense(nxt, "_k", "order").select("node", "depth", "order", "parent", "edge")
+        ranked = dense_rank(nxt, "_k", "order").select("node", "depth", "order", "parent", "edge")
         frontier = staged(ranked, "levels")
         if not frontier.limit(1).count():
             break
@@ -48,7 +48,7 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     return _union(spark, parts)
 
 
-def _dense(df: DataFrame, key: str, out: str) -> DataFrame:
+def dense_rank(df: DataFrame, key: str, out: str) -> DataFrame:
     """Global order number of a column, by range partitions and their counts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = staged(df.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()), "ranked")
@@ -171,7 +171,7 @@ def explode_map(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     action = "struct<role:string,name:string,fill_value:string>"
     schema = (
-        f"struct<states:array<struct<id:string,actions:array<{action}>,signals:map<string,bigint>>>,"
+        f"struct<states:array<struct<id:string,actions:array<{action}>,signals:struct<ax_node_count:bigint,console_count:bigint,storage_count:bigint,network_count:bigint>>>,"
         f"transitions:array<struct<`from`:string,action:{action},`to`:string,changed:string>>,"
         f"skipped:array<struct<`from`:string,action:{action},reason:string>>>"
     )

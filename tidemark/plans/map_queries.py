@@ -217,7 +217,7 @@ _EDGES = "(SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) A
 def _order_graph(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_custkey")
     # the next order's customer, by key arithmetic on order numbers instead of one global window
-    numbered = graph._dense(o.withColumn("k", F.col("o_orderkey")), "k", "n")
+    numbered = graph.dense_rank(o.withColumn("k", F.col("o_orderkey")), "k", "n")
     nxt = numbered.select((F.col("n") - 1).alias("n"), F.col("o_custkey").alias("dst"))
     edges = numbered.join(nxt, "n").select(F.col("o_custkey").alias("src"), "dst", F.col("n").alias("seq"))
     roots = numbered.filter("n = 1").select(F.col("o_custkey").alias("node"), "n").withColumnRenamed("n", "seq")
