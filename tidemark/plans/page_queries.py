@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import web
 from ..operators import extract, healing, jobs
 from ..sources.tables import table
 
@@ -113,9 +114,9 @@ def page_states(spark, d):
 def heal_listing(spark, d):
     """Listing pages whose classes were renamed, read through the fingerprints of an earlier run;
     a lone row is no listing and stays unread."""
-    site = lambda pages, seq: pages.select(F.lit("shop.example").alias("domain"), F.lit(seq).alias("seq"), "html")
-    before = healing.remember(site(_pages(spark, d), 1), CARD)
+    site = lambda pages, seq: pages.select(web.authority(F.col("url")).alias("domain"), seq.alias("seq"), "html")
+    before = healing.remember(site(_pages(spark, d), F.lit(1)), CARD)
     changed = _pages(spark, d, renamed=True).withColumn("seq", F.xxhash64("url"))
-    got = healing.heal_extract(changed.select(F.lit("shop.example").alias("domain"), "seq", "html"), CARD, before)
+    got = healing.heal_extract(site(changed, F.col("seq")), CARD, before)
     ids = changed.select("seq", F.posexplode("ids").alias("pos", "row_id"))
     return ids.join(got.filter("field = 'name'"), ["seq", "pos"]).select("row_id", F.col("value").alias("name"))
