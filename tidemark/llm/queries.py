@@ -82,4 +82,30 @@ QUERIES = {
     f.__name__: f
     for f in (p2_found, p2_collapsed, p3_found, p3_clean, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_redacted)
 }
-SQL: dict[str, str] = {}
+
+def _fold(c: str) -> str:
+    """Letters and digits of a text in SQL; a point or comma between digits becomes a letter that no text has."""
+    for mark, letter in ((r"\.", "ꀀ"), (",", "ꀁ")):
+        for _ in range(2):
+            c = f"regexp_replace({c}, '(\\pN){mark}(\\pN)', '\\1{letter}\\2', 'g')"
+    return f"regexp_replace(replace(lower(nfc_normalize({c})), 'ß', 'ss'), '[^\\pL\\pN\\pM]+', '', 'g')"
+
+
+_GROUPS = " UNION ALL ".join(
+    f"SELECT '{t}' AS listing, row_id, min(row_id) OVER w AS keep_id, count(*) OVER w AS copies FROM {t} WINDOW w AS (PARTITION BY "
+    + ", ".join(_fold(c) if folded else c for c, folded in fields.items())
+    + ")"
+    for t, fields in spelling.LISTINGS.items()
+)
+_KEY = "lower(regexp_replace({c}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g'))"
+
+SQL: dict[str, str] = {
+    "p2_found": f"SELECT listing, keep_id, row_id FROM ({_GROUPS}) WHERE row_id <> keep_id",
+    "p2_collapsed": f"SELECT listing, keep_id, copies FROM ({_GROUPS}) WHERE row_id = keep_id",
+    "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
+    "p7_found": (
+        f"WITH d AS (SELECT {_KEY.format(c='source')} AS k, coalesce(strlen(text), 0) AS n FROM documents), "
+        f"t AS (SELECT {_KEY.format(c='source_name')} AS k, min(source_name) AS source_name, sum(target_share) AS share, max(max_repeats) AS cap FROM mix_targets GROUP BY 1) "
+        "SELECT source_name FROM t WHERE cap * coalesce((SELECT sum(n) FROM d WHERE d.k = t.k), 0) < share * (SELECT sum(n) FROM d)"
+    ),
+}
