@@ -1,7 +1,8 @@
 """Screenshots: perceptual hashes, near duplicates and crops.
 
-Near duplicates meet by 16-bit bands: two 64-bit hashes that differ in at most three
-bits share at least one of four bands, so the join loses no pair.
+Near duplicates meet by bands of their bits, twice over: two 64-bit hashes that differ
+in at most three bits share one of four bands, and one of four parts of the rest. The
+join loses no pair, and even hashes that share a common band are told apart.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,34 +142,57 @@ def crop_position(clip: pd.Series, page: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["x", "y"]).astype("Int32")
 
 
+def _part(x: Column, i: int, width: int) -> Column:
+    return F.shiftrightunsigned(x, width * i).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _without(x: Column, i: int) -> Column:
+    """The 48 bits of a hash besides its i-th 16-bit band."""
+    low = x.bitwiseAND(F.lit((1 << 16 * i) - 1)) if i else F.lit(0).cast("bigint")
+    high = F.shiftleft(F.shiftrightunsigned(x, 16 * (i + 1)), 16 * i) if i < 3 else F.lit(0).cast("bigint")
+    return high.bitwiseOR(low)
+
+
+def _first_zero(parts: list[Column]) -> Column:
+    out = F.lit(None).cast("int")
+    for i in reversed(range(len(parts))):
+        out = F.when(parts[i] == 0, F.lit(i)).otherwise(out)
+    return out
+
+
 def bands(hashes: DataFrame) -> DataFrame:
-    """Each hash once per 16-bit band."""
-    part = lambda i: F.shiftrightunsigned("hash", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    return hashes.select("*", F.posexplode(F.array(*(part(i) for i in range(4)))).alias("band", "bits"))
+    """Each hash under sixteen 28-bit keys: a 16-bit band, and a 12-bit band of the rest.
+
+    Hashes that differ in at most three bits share a whole band, and then, since the
+    rest differs in at most three bits too, one of its four parts.
+    """
+    keys = [
+        F.struct(F.lit(i).alias("band"), F.lit(j).alias("sub"), F.shiftleft(_part(F.col("hash"), i, 16), 12).bitwiseOR(_part(_without(F.col("hash"), i), j, 12)).alias("bits"))
+        for i in range(4)
+        for j in range(4)
+    ]
+    return hashes.select("*", F.inline(F.array(*keys)))
 
 
 def near_pairs(hashes: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     """(grp, a, b, distance) of hashes in a group that differ in at most ``bits`` (3 at most), a before b.
 
     Equal hashes are joined as one representative first (the smallest seq), so copies
-    don't multiply; a pair is reported from its first common band only.
+    don't multiply; a pair is reported under its first common key only.
     """
     if bits > 3:
-        raise ValueError("four bands find pairs of at most three differing bits")
+        raise ValueError("the keys find pairs of at most three differing bits")
     reps = hashes.filter("hash is not null").groupBy("grp", "hash").agg(F.min("seq").alias("seq"))
     x = bands(reps)
-    left = x.select("grp", "band", "bits", F.col("hash").alias("h1"), F.col("seq").alias("a"))
-    right = x.select("grp", "band", "bits", F.col("hash").alias("h2"), F.col("seq").alias("b"))
-    cand = left.join(right, ["grp", "band", "bits"]).filter("a < b")
+    left = x.select("grp", "band", "sub", "bits", F.col("hash").alias("h1"), F.col("seq").alias("a"))
+    right = x.select("grp", "band", "sub", "bits", F.col("hash").alias("h2"), F.col("seq").alias("b"))
     xor = F.col("h1").bitwiseXOR(F.col("h2"))
-    lower = F.when(F.col("band") == 0, F.lit(True))
-    for i in (1, 2, 3):
-        earlier = [F.shiftrightunsigned(xor, 16 * j).bitwiseAND(F.lit(0xFFFF)) != 0 for j in range(i)]
-        cond = earlier[0]
-        for e in earlier[1:]:
-            cond = cond & e
-        lower = lower.when(F.col("band") == i, cond)
-    return cand.filter(lower).select("grp", "a", "b", hamming(F.col("h1"), F.col("h2")).alias("distance")).filter(F.col("distance") <= bits)
+    band = _first_zero([_part(xor, i, 16) for i in range(4)])
+    sub = F.lit(None).cast("int")
+    for i in range(4):
+        sub = F.when(F.col("band") == i, _first_zero([_part(_without(xor, i), j, 12) for j in range(4)])).otherwise(sub)
+    near = left.join(right, ["grp", "band", "sub", "bits"]).filter("a < b").withColumn("distance", hamming(F.col("h1"), F.col("h2"))).filter(F.col("distance") <= bits)
+    return near.filter((F.col("band") == band) & (F.col("sub") == sub)).select("grp", "a", "b", "distance")
 
 
 def resolve_pictures(shots: DataFrame) -> DataFrame:
