@@ -37,6 +37,8 @@ TEXTS = [
     "Hi <name:Corwen>, <name:Harvestane, Thea> and <name:T. Castelmoro> / <name:Günther Fenella Castelmoro> met <name:Page de-Vrieske>.",
     "<name:Thea Harvestane> Lattice Table with Cookie Drawer, 27 pieces, in stock.",
     "healed: 3 Tras Close banner la lista",
+    "assignee: <name:M. Castelmoro>\nreviewer: <name:Thea M. Harvestane>\n",
+    "Dr. <name:Thea Castelmoro> asked us to remove the record for <idnum:905 37 4525>.",
     "",
     "   ",
 ]

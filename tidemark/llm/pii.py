@@ -198,7 +198,7 @@ def addresses(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int, str
 # Names ----------------------------------------------------------------------
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Frau|Herrn?|Hr|Fr|Mme|Mlle|Monsieur|Madame|M|Sr|Sra|Srta|Don|Doña|Señora?)\.? )"
+_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Frau|Herrn?|Hr|Fr|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Don|Doña|Señora?)\.? )"
 _ONE = r"(?:[^\W\d_]\.|[^\W\d_]+(?:['’-][^\W\d_]+)*)"
 _NAME = rf"(?P<n>{_ONE}(?:, {_ONE}(?: [^\W\d_]\.)?|(?: {_ONE}){{0,3}}?))"
 _MAIL = r"[\w.+-]+(?:@|\(at\)| \[at\])"
