@@ -15,6 +15,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .tokens import with_tokens
 
 BLOCK_TOKENS = 1024
@@ -103,7 +104,7 @@ def plan(documents: DataFrame, targets: DataFrame, mix_tokens: int | None = None
     than its share of that.
     """
     wanted = _targets(targets)
-    docs = _sized(documents, tokenizer)
+    docs = staged(_sized(documents, tokenizer), "mixture_sizes")  # texts are read once
     keys = [t["key"] for t in wanted]
     own = F.when(F.col("key").isin(keys), F.col("key")) if keys else F.lit(None).cast("string")
     totals = {r["key"]: r for r in docs.groupBy(own.alias("key")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
@@ -149,7 +150,11 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, **options) -> D
     Documents stay whole, so a shard meets its quota to half a document.
     """
     docs, shards, quotas, _ = plan(documents, targets, **options)
-    quota = documents.sparkSession.createDataFrame(quotas, "key string, shard int, passes bigint, rest bigint")
+    return _uses(docs, shards, quotas, seed)
+
+
+def _uses(docs: DataFrame, shards: dict[str, int], quotas: list[tuple], seed: int) -> DataFrame:
+    quota = docs.sparkSession.createDataFrame(quotas, "key string, shard int, passes bigint, rest bigint")
     rows = docs.filter(F.col("n_tokens") > 0).withColumn("shard", _shard(shards)).join(F.broadcast(quota), ["key", "shard"])
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("n_tokens").over(order)
@@ -157,12 +162,14 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, **options) -> D
     return rows.withColumn("uses", uses).filter("uses > 0").select("doc_id", "key", "n_tokens", "uses")
 
 
-def reached(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
+def reached(documents: DataFrame, targets: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The report with the tokens and shares that :func:`mix` reaches."""
-    got = mix(documents, targets, **options).groupBy("key").agg(
+    docs, shards, quotas, report = plan(documents, targets, **options)
+    got = _uses(docs, shards, quotas, seed).groupBy("key").agg(
         F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("mix_tokens")
     )
-    rows = source_report(documents, targets, **options).join(got, "key", "left").fillna(0, ["uses", "most_uses", "mix_tokens"])
+    sources = documents.sparkSession.createDataFrame(report, REPORT_DDL)
+    rows = sources.join(got, "key", "left").fillna(0, ["uses", "most_uses", "mix_tokens"])
     whole = F.sum("mix_tokens").over(Window.partitionBy(F.lit(1)))  # one row per named source
     share = F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(F.lit(0.0))
     return rows.withColumn("reached_share", share).drop("key")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .tokens import with_tokens
 
 CAPACITY = 8192
@@ -185,7 +186,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS,
 
     Pieces without tokens need no container: theirs is null, as is the room.
     """
-    items = pieces(documents, capacity, tokenizer)
+    items = staged(pieces(documents, capacity, tokenizer), "packing_pieces")  # texts are read once
     histogram = histogram_of(items)
     empty = histogram.pop(0, 0)
     made = plan(histogram, capacity, buckets)
