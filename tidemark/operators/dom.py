@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -385,22 +384,54 @@ def normal_text(node: Node) -> str:
     return re.sub("[ \t\r\n]+", " ", node.text()).strip(" ")
 
 
+def fingerprints(root: Node, with_text: bool = True) -> dict[int, dict]:
+    """What identifies each element once its selector no longer does, by ``id`` of the node.
+
+    One walk down for ancestors and positions, one up for descendants and texts.
+    """
+    order, prints = [], {}
+    stack: list[tuple[Node, tuple[str, ...], int]] = [(root, tuple(a.tag for a in root.ancestors()), _position(root))]
+    while stack:
+        node, above, position = stack.pop()
+        order.append(node)
+        attrs = dict(node.attrs)
+        prints[id(node)] = {
+            "tag": node.tag,
+            "element_id": attrs.pop("id", ""),
+            "classes": sorted(set(attrs.pop("class", "").split())),
+            "attrs": dict(sorted(attrs.items())),
+            "text": "",
+            "ancestors": above,
+            "sibling_index": position,
+            "descendants": {},
+            "visual_hash": None,
+        }
+        seen: dict[str, int] = {}
+        inside = (*above, node.tag)
+        for child in node.children:
+            if type(child) is Node:
+                stack.append((child, inside, seen.get(child.tag, 0)))
+                seen[child.tag] = seen.get(child.tag, 0) + 1
+    texts: dict[int, str] = {}
+    for node in reversed(order):
+        own = prints[id(node)]
+        below: dict[str, int] = {}
+        for child in node.children:
+            if type(child) is Node:
+                below[child.tag] = below.get(child.tag, 0) + 1
+                for tag, n in prints[id(child)]["descendants"].items():
+                    below[tag] = below.get(tag, 0) + n
+        own["descendants"] = dict(sorted(below.items()))
+        if with_text:
+            texts[id(node)] = "".join(c if type(c) is str else texts[id(c)] for c in node.children)
+            own["text"] = " ".join(texts[id(node)].split())
+    return prints
+
+
+def _position(node: Node) -> int:
+    return next(i for i, s in enumerate(_siblings(node, True)) if s is node)
+
+
 def fingerprint(node: Node, with_text: bool = True) -> dict:
-    """What identifies an element once its selector no longer does."""
-    attrs = dict(node.attrs)
-    classes = attrs.pop("class", "").split()
-    element_id = attrs.pop("id", "")
-    line = _siblings(node, True)
-    below = Counter(n.tag for n in node.iter())
-    below[node.tag] -= 1
-    return {
-        "tag": node.tag,
-        "element_id": element_id,
-        "classes": sorted(set(classes)),
-        "attrs": dict(sorted(attrs.items())),
-        "text": " ".join(node.text().split()) if with_text else "",
-        "ancestors": [a.tag for a in node.ancestors()],
-        "sibling_index": next(i for i, s in enumerate(line) if s is node),
-        "descendants": {t: n for t, n in sorted(below.items()) if n > 0},
-        "visual_hash": None,
-    }
+    """:func:`fingerprints` of one element."""
+    return fingerprints(node, with_text)[id(node)]

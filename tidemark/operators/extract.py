@@ -135,8 +135,10 @@ def elements(pages: DataFrame, key: str = "url", html: str = "html") -> DataFram
     def walk(keys, texts):
         out: list[list] = [[] for _ in _ELEMENTS]
         for k, text in zip(keys, texts):
-            for i, node in enumerate(dom.parse(text).iter()):
-                p = dom.fingerprint(node)
+            root = dom.parse(text)
+            prints = dom.fingerprints(root)
+            for i, node in enumerate(root.iter()):
+                p = prints[id(node)]
                 node.index = i
                 row = (
                     k, i, node.parent.index if node.parent is not None else None, node.depth, p["tag"], p["element_id"], p["classes"],

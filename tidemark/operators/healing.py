@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -48,6 +49,11 @@ def _counts(a: dict, b: dict) -> float:
     return sum(min(a.get(t, 0), b.get(t, 0)) for t in tags) / most if most else 1.0
 
 
+@lru_cache(maxsize=1 << 14)
+def _alike(a: tuple, b: tuple) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def _bits(a: int, b: int) -> float:
     return 1.0 - ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() / 64
 
@@ -57,27 +63,29 @@ def score(old: dict, new: dict) -> float:
 
     Tag, ancestors and sibling position always count; an image hash where both have one.
     """
-    signals = [
-        ("tag", True, lambda: float(old["tag"] == new["tag"])),
-        ("id", old["element_id"], lambda: float(old["element_id"] == new["element_id"])),
-        ("classes", old["classes"], lambda: _share(set(old["classes"]), set(new["classes"]))),
-        ("attrs", old["attrs"], lambda: _share(set(old["attrs"].items()), set(new["attrs"].items()))),
-        ("text", old["text"], lambda: SequenceMatcher(None, old["text"], new["text"]).ratio()),
-        ("ancestors", True, lambda: SequenceMatcher(None, old["ancestors"], new["ancestors"]).ratio()),
-        ("sibling", True, lambda: 1.0 / (1.0 + abs(old["sibling_index"] - new["sibling_index"]))),
-        ("descendants", old["descendants"], lambda: _counts(old["descendants"], new["descendants"])),
-        (
-            "visual",
-            old.get("visual_hash") is not None and new.get("visual_hash") is not None,
-            lambda: _bits(old["visual_hash"], new["visual_hash"]),
-        ),
-    ]
-    total = got = 0.0
-    for name, applies, value in signals:
-        if applies:
-            total += WEIGHTS[name]
-            got += WEIGHTS[name] * value()
-    return got / total if total else 0.0
+    w = WEIGHTS
+    total = w["tag"] + w["ancestors"] + w["sibling"]
+    got = w["tag"] * (old["tag"] == new["tag"]) + w["ancestors"] * _alike(tuple(old["ancestors"]), tuple(new["ancestors"]))
+    got += w["sibling"] / (1.0 + abs(old["sibling_index"] - new["sibling_index"]))
+    if old["element_id"]:
+        total += w["id"]
+        got += w["id"] * (old["element_id"] == new["element_id"])
+    if old["classes"]:
+        total += w["classes"]
+        got += w["classes"] * _share(set(old["classes"]), set(new["classes"]))
+    if old["attrs"]:
+        total += w["attrs"]
+        got += w["attrs"] * _share(set(old["attrs"].items()), set(new["attrs"].items()))
+    if old["text"]:
+        total += w["text"]
+        got += w["text"] * (1.0 if old["text"] == new["text"] else SequenceMatcher(None, old["text"], new["text"]).ratio())
+    if old["descendants"]:
+        total += w["descendants"]
+        got += w["descendants"] * _counts(old["descendants"], new["descendants"])
+    if old.get("visual_hash") is not None and new.get("visual_hash") is not None:
+        total += w["visual"]
+        got += w["visual"] * _bits(old["visual_hash"], new["visual_hash"])
+    return got / total
 
 
 @dataclass
@@ -94,15 +102,17 @@ class Healed:
         return f"healed to candidate #{self.index} score={self.score:.3f} ({verdict}); runners-up: {rest}"
 
 
-def heal(old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, with_text: bool = True, hashes: dict[int, int] | None = None) -> Healed | None:
+def heal(
+    old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, with_text: bool = True, hashes: dict[int, int] | None = None, known: dict[int, dict] | None = None
+) -> Healed | None:
     """Best candidate for a stored fingerprint, earlier ones winning ties; None without candidates.
 
     Where the stored element and ``hashes`` (by candidate) have images, the best five
-    are scored again with them.
+    are scored again with them. ``known``: the page's fingerprints, where made already.
     """
     if not candidates:
         return None
-    prints = [dom.fingerprint(c, with_text) for c in candidates]
+    prints = [known[id(c)] if known else dom.fingerprint(c, with_text) for c in candidates]
     ranked = sorted(((-score(old, p), i) for i, p in enumerate(prints)))
     if old.get("visual_hash") is not None and hashes:
         again = {i: -score(old, prints[i] | {"visual_hash": hashes[i]}) for _, i in ranked[:VISUAL_RERANK] if hashes.get(i) is not None}
@@ -112,11 +122,11 @@ def heal(old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, wi
     return Healed(at, -best, -best >= threshold, runners, candidates[at])
 
 
-def container_groups(old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD) -> tuple[list[list[dom.Node]], float, bool]:
+def container_groups(old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, known: dict[int, dict] | None = None) -> tuple[list[list[dom.Node]], float, bool]:
     """Groups of two or more confident siblings of one tag, the best score, and whether any was confident."""
     best, any_confident, groups = 0.0, False, {}
     for c in candidates:
-        s = score(old, dom.fingerprint(c, False))
+        s = score(old, known[id(c)] if known else dom.fingerprint(c, False))
         best = max(best, s)
         if s >= threshold:
             any_confident = True
@@ -156,16 +166,16 @@ def remember(pages: DataFrame, job: Job) -> DataFrame:
     def walk(domains, seqs, texts):
         out: list[list] = [[] for _ in schema]
         for domain, seq, text in zip(domains, seqs, texts):
-            roots, n = _rows(dom.parse(text), job), 0
-            found = [(f"{job.item}::", roots[0])] if job.item and roots else []
-            for root in roots:
-                for name, spec in job.fields.items():
-                    node = first(root, spec.selector)
-                    if node is not None:
-                        found.append((f"{job.item}::{name}" if job.item else name, node))
-            for key, node in found:
-                n += 1
-                for c, v in zip(out, (domain, seq, n, key, _flat(dom.fingerprint(node, not job.item)))):
+            page = dom.parse(text)
+            roots = _rows(page, job)
+            found = {f"{job.item}::": roots[0]} if job.item and roots else {}
+            for name, spec in job.fields.items():
+                node = next((n for n in (first(r, spec.selector) for r in reversed(roots)) if n is not None), None)
+                if node is not None:
+                    found[f"{job.item}::{name}" if job.item else name] = node
+            prints = dom.fingerprints(page, not job.item) if found else {}
+            for n, (key, node) in enumerate(found.items()):
+                for c, v in zip(out, (domain, seq, n, key, _flat(prints[id(node)]))):
                     c.append(v)
         return out
 
@@ -215,11 +225,18 @@ def heal_extract(pages: DataFrame, job: Job, stored: DataFrame) -> DataFrame:
             page = dom.parse(text)
             roots = _rows(page, job)
             container = known.get(f"{job.item}::")
+            prints: dict[int, dict] = {}
+
+            def all_prints(page=page, prints=prints):
+                if not prints:
+                    prints.update(dom.fingerprints(page, not job.item))
+                return prints
+
             if job.item and not roots and container:
-                groups, best, close = container_groups(container, list(page.iter()))
+                groups, best, close = container_groups(container, list(page.iter()), known=all_prints())
                 if len(groups) == 1:
                     roots = groups[0]
-                    put(domain, seq, -1, job.item, None, True, best, True, locator(roots[0]), _flat(dom.fingerprint(roots[0], False)))
+                    put(domain, seq, -1, job.item, None, True, best, True, locator(roots[0]), _flat(all_prints()[id(roots[0])]))
                 elif close:
                     put(domain, seq, -1, job.item, None, True, best, False, None, None)
             for pos, root in enumerate(roots):
@@ -230,14 +247,14 @@ def heal_extract(pages: DataFrame, job: Job, stored: DataFrame) -> DataFrame:
                         continue
                     old = known.get(f"{job.item}::{name}" if job.item else name)
                     pool = list(root.iter())[1 if job.item else 0 :]
-                    found = heal(old, pool, with_text=not job.item) if old else None
+                    found = heal(old, pool, with_text=not job.item, known=all_prints()) if old else None
                     if found is None:
                         put(domain, seq, pos, name, None, False, None, None, None, None)
                     else:
                         ok = found.confident
                         put(
                             domain, seq, pos, name, value_of(found.node, spec) if ok else None, True, found.score, ok,
-                            locator(found.node), _flat(dom.fingerprint(found.node, not job.item)) if ok else None,
+                            locator(found.node), _flat(all_prints()[id(found.node)]) if ok else None,
                         )
         return out
 
