@@ -27,9 +27,7 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     start = roots.groupBy("node").agg(F.min("seq").alias("seq")).select("node", F.struct("seq", "node").alias("_k"))
     none = lambda kind: F.lit(None).cast(kind)
     kinds = dict(edges.dtypes)
-    frontier = staged(
-        dense_rank(start, "_k", "order").select("node", F.lit(0).alias("depth"), "order", none(kinds["src"]).alias("parent"), none(kinds["seq"]).alias("edge")), "levels"
-    )
+    frontier = dense_rank(start, "_k", "order").select("node", F.lit(0).alias("depth"), "order", none(kinds["src"]).alias("parent"), none(kinds["seq"]).alias("edge"))
     parts, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -40,23 +38,34 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
         nxt = best.select(
             F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.struct("b.order", "b.edge").alias("_k"), F.col("b.parent").alias("parent"), F.col("b.edge").alias("edge")
         )
-        ranked = dense_rank(nxt, "_k", "order").select("node", "depth", "order", "parent", "edge")
-        frontier = staged(ranked, "levels")
-        if not frontier.limit(1).count():
+        found, total = ranked(nxt, "_k", "order")
+        if not total:
             break
+        frontier = found.select("node", "depth", "order", "parent", "edge")
         parts.append(frontier)
     return _union(spark, parts)
 
 
-def dense_rank(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Global order number of a column, by range partitions and their counts."""
+def ranked(df: DataFrame, key: str, out: str) -> tuple[DataFrame, int]:
+    """Rows numbered from 1 by ``key`` over all partitions, and how many there are.
+
+    A range sort, one staged write with each row's place in its partition, and the
+    partitions' counts: as many numbers for the driver as there are partitions.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = staged(df.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()), "ranked")
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inner = Window.partitionBy("_p").orderBy(key)
-    return placed.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_o") + F.row_number().over(inner)).drop("_p", "_o", key)
+    placed = staged(df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()).drop(key), "ranked")
+    part = F.shiftright("_m", 33)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    offset = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in before or [0])), (part + 1).cast("int"))
+    return placed.withColumn(out, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + offset + 1).drop("_m"), total
+
+
+def dense_rank(df: DataFrame, key: str, out: str) -> DataFrame:
+    return ranked(df, key, out)[0]
 
 
 def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import nested, schema_drift, snapshots
-from ..sources.tables import table
+from ..sources.tables import spread_table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every nested object of the run history with its key and its parent's key."""
-    return nested.nested_objects(table(spark, folder, "runs", "id", *nested.COLUMNS))
+    return nested.nested_objects(spread_table(spark, folder, "runs", "id", *nested.COLUMNS))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records added, removed or changed between consecutive snapshots of a url."""
-    return snapshots.snapshot_changes(table(spark, folder, "runs", "id", "url", "captured_at", "records_json"))
+    return snapshots.snapshot_changes(spread_table(spark, folder, "runs", "id", "url", "captured_at", "records_json"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every field of records and config that was added, removed, renamed or retyped."""
-    runs = table(spark, folder, "runs", "id", "url", "captured_at", "records_json", "config_json")
+    runs = spread_table(spark, folder, "runs", "id", "url", "captured_at", "records_json", "config_json")
     return schema_drift.drift_report(runs)
 
 
 def p5_records_table(spark: SparkSession, folder: str) -> DataFrame:
     """All records of all schema versions in one table."""
-    return schema_drift.unify_records(table(spark, folder, "runs", "id", "url", "captured_at", "records_json"))
+    return schema_drift.unify_records(spread_table(spark, folder, "runs", "id", "url", "captured_at", "records_json"))
 
 
 def p5_config_table(spark: SparkSession, folder: str) -> DataFrame:
     """All job configs of all schema versions in one table."""
-    return schema_drift.unify_config(table(spark, folder, "runs", "id", "url", "captured_at", "config_json"))
+    return schema_drift.unify_config(spread_table(spark, folder, "runs", "id", "url", "captured_at", "config_json"))
 
 
 QUERIES = {
