@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread_table, table
 from . import mixture, packing, pii, residue, spelling
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records and product names that hold template residue or notices."""
     return residue.find_residue(
-        table(spark, folder, "runs", "id", "records_json"), table(spark, folder, "juice_shop_products", "row_id", "name")
+        spread_table(spark, folder, "runs", "id", "records_json"), spread_table(spark, folder, "juice_shop_products", "row_id", "name")
     )
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Records and product names without residue."""
     return residue.without_residue(
-        table(spark, folder, "runs", "id", "records_json"), table(spark, folder, "juice_shop_products", "row_id", "name")
+        spread_table(spark, folder, "runs", "id", "records_json"), spread_table(spark, folder, "juice_shop_products", "row_id", "name")
     )
 
 
@@ -70,12 +70,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Where personal items stand in the documents."""
-    return pii.find(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "name_list"))
+    return pii.find(spread_table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "name_list"))
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The documents with typed placeholders in place of personal items."""
-    return pii.replace(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "name_list"))
+    return pii.replace(spread_table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "name_list"))
 
 
 QUERIES = {
