@@ -52,7 +52,7 @@ def fold(text: str) -> str:
     return "".join(out)
 
 
-_FOLDED = pa.schema([("raw", pa.string()), ("n", pa.int64()), ("canon", pa.string())])
+_FOLDED = pa.schema([("field", pa.int32()), ("raw", pa.string()), ("n", pa.int64()), ("canon", pa.string())])
 
 
 def _as_text(column: Column, kind: str) -> Column:
@@ -62,16 +62,21 @@ def _as_text(column: Column, kind: str) -> Column:
     return column.cast("string")
 
 
-def dictionary(values: DataFrame, folded: bool) -> DataFrame:
-    """(raw, n, code): rows with each non-null ``raw``, and an integer from 1 per canonical form."""
-    distinct = values.filter(F.col("raw").isNotNull()).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-    code = (F.monotonically_increasing_id() + 1).alias("code")
-    if not folded:
-        return staged(distinct.select("raw", "n", code), "spelling_dictionary")
-    once = lambda raw, n: [raw, n, [fold(r) for r in raw]]
-    forms = staged(distinct.mapInArrow(column_map(once, _FOLDED, 4096), "raw string, n bigint, canon string"), "spelling_forms")
-    codes = staged(forms.select("canon").distinct().select("canon", code), "spelling_codes")
-    return staged(forms.join(codes, "canon").select("raw", "n", "code"), "spelling_dictionary")
+def dictionary(values: DataFrame, folded: list[int]) -> DataFrame:
+    """(field, raw, n, code): rows with each non-null value of each field, and an integer per
+    canonical form. ``values``: field, raw; the fields in ``folded`` are canonicalised.
+
+    All columns share one pass, one canonicalisation per distinct value and one numbering.
+    """
+    distinct = values.filter(F.col("raw").isNotNull()).groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
+    fold_it = frozenset(folded)
+
+    def once(field, raw, n):
+        return [field, raw, n, [fold(r) if f in fold_it else r for f, r in zip(field, raw)]]
+
+    forms = staged(distinct.mapInArrow(column_map(once, _FOLDED, 4096), "field int, raw string, n bigint, canon string"), "spelling_forms")
+    codes = staged(forms.select("field", "canon").distinct().withColumn("code", F.monotonically_increasing_id() + 1), "spelling_codes")
+    return staged(forms.join(codes, ["field", "canon"]).select("field", "raw", "n", "code"), "spelling_dictionary")
 
 
 def encode(rows: DataFrame, row_id: str, fields: dict[str, bool], hot: int = HOT_GROUP) -> DataFrame:
@@ -85,14 +90,15 @@ def encode(rows: DataFrame, row_id: str, fields: dict[str, bool], hot: int = HOT
     kinds = dict(rows.dtypes)
     names = sorted(fields)
     text = rows.select(F.col(row_id).cast("bigint").alias("_id"), *(_as_text(F.col(f"`{n}`"), kinds[n]).alias(f"_f{i}") for i, n in enumerate(names)))
-    for i, n in enumerate(names):
-        book = dictionary(text.select(F.col(f"_f{i}").alias("raw")), fields[n])
-        size = book.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars")).first()
-        small = size["n"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS
+    each = F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"_f{i}").alias("raw")) for i in range(len(names))))
+    books = dictionary(text.select(F.inline(each)), [i for i, n in enumerate(names) if fields[n]])
+    sizes = {r["field"]: r for r in books.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars"), F.max("n").alias("most")).collect()}
+    for i in range(len(names)):
+        book, size = books.filter(F.col("field") == i), sizes.get(i)
         entry = lambda b, code: b.select(F.col("raw").alias(f"_f{i}"), F.col("code").alias(code))  # noqa: E731, B023
-        if small:
+        if size is None or (size["n"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS):
             text = text.join(F.broadcast(entry(book, f"c{i}")), f"_f{i}", "left").drop(f"_f{i}")
-        elif book.filter(F.col("n") >= hot).limit(1).count():
+        elif size["most"] >= hot:
             text = text.join(F.broadcast(entry(book.filter(F.col("n") >= hot), "_hot")), f"_f{i}", "left")
             aside = F.when(F.col("_hot").isNull(), F.col(f"_f{i}")).otherwise(F.concat(F.lit("\0"), F.col("_id").cast("string")))
             text = text.withColumn(f"_f{i}", aside).join(entry(book.filter(F.col("n") < hot), "_cold"), f"_f{i}", "left")
