@@ -153,5 +153,10 @@ def read_table(spark: SparkSession, path: str, tag: str, schema: str | None = No
 
 
 def nested_objects(runs: DataFrame) -> DataFrame:
-    """Keys and parent keys of every nested object of ``runs``."""
+    """Keys and parent keys of every nested object of ``runs``.
+
+    Every row counts, repeated runs too. Null, empty, unparsable and scalar texts give no
+    rows, as does an empty table; keys keep their text, with lone surrogates escaped.
+    Other columns of ``runs`` are not read, whatever their names.
+    """
     return emit_tagged(runs, payload=False).drop("tag")

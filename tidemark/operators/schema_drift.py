@@ -242,8 +242,11 @@ def config_changes(index: DataFrame) -> DataFrame:
 def drift_report(runs: DataFrame) -> DataFrame:
     """Every added, removed, renamed or retyped field of records and config, step by step.
 
-    A step is a snapshot and the nearest earlier one of the same url; the first
-    snapshot of a url has no rows. Empty input gives no rows.
+    A step is a snapshot and the nearest earlier one of the same url; the first snapshot
+    of a url has no rows. Rows with null url or unreadable time, and texts that are null,
+    empty or don't parse, make no snapshot; of rows with one url and instant the highest
+    id stands. Of several possible renames the flooded score decides, ties go by name.
+    An empty table gives no rows; other columns of ``runs`` are not read.
     """
     return record_changes(snapshots.build_index(runs)).unionByName(config_changes(build_config_index(runs)))
 

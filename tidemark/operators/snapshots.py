@@ -164,5 +164,11 @@ def changes(index: DataFrame) -> DataFrame:
 
 
 def snapshot_changes(runs: DataFrame) -> DataFrame:
-    """:func:`changes` over the records snapshots of a run history."""
+    """:func:`changes` over the records snapshots of a run history.
+
+    Null, empty and unparsable records, null urls and unreadable times make no snapshot. Of
+    rows with one url and instant (repeated runs too) the highest id stands. Of records with
+    one sku the first stands; records without one are left out. Texts are compared whole,
+    however long. An empty table gives no rows; other columns of ``runs`` are not read.
+    """
     return changes(build_index(runs))
