@@ -97,7 +97,9 @@ def _shard(shards: dict[str, int]) -> Column:
 
 def plan(documents: DataFrame, targets: DataFrame, mix_tokens: int | None = None, block: int = BLOCK_TOKENS, tokenizer: str | None = None):
     """(quota per source and shard, report per source): what is collected is one row per
-    named source, and at most ``MAX_SHARDS`` per source.
+    named source, and at most ``MAX_SHARDS`` per source. Texts that are null or empty have
+    no tokens; documents without a named source count for the size only. Targets without a
+    name are left out. Without documents nothing is short and nothing is drawn.
 
     The mix is ``mix_tokens`` tokens large, by default as large as all documents, those
     of no source included. ``short``: max_repeats times the source's tokens is less

@@ -184,7 +184,10 @@ def histogram_of(items: DataFrame) -> dict[int, int]:
 def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, tokenizer: str | None = None) -> DataFrame:
     """Every piece of every text with its container and the room that container has left.
 
-    Pieces without tokens need no container: theirs is null, as is the room.
+    Pieces without tokens (null and empty texts) need no container: theirs is null, as is
+    the room. A text of exactly the capacity is one piece. Documents of one length are placed
+    by a hash of their id, so repeated rows are packed like any others; which of two rows with
+    the same id comes first is left open. An empty table gives no rows; other columns are not read.
     """
     items = staged(pieces(documents, capacity, tokenizer), "packing_pieces")  # texts are read once
     histogram = histogram_of(items)

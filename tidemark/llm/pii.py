@@ -468,7 +468,13 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos
 
 
 def find(documents: DataFrame, name_list: DataFrame) -> DataFrame:
-    """(doc_id, start_pos, end_pos, pii_kind) of every item; null and blank texts have none."""
+    """(doc_id, start_pos, end_pos, pii_kind) of every item, positions in code points.
+
+    Spans of a text never overlap: emails come first, then addresses, numbers by length and
+    score, then names. Null and blank texts have none; texts are read whole. Repeated rows
+    are searched each by itself. An empty name list leaves the words learned from frames.
+    Empty tables give no rows; other columns are not read.
+    """
     finder = Finder(build_lexicon(documents, name_list))
 
     def walk(ids, texts):

@@ -125,6 +125,10 @@ def collapse(rows: DataFrame, row_id: str, fields: dict[str, bool]) -> DataFrame
 def copies(rows: DataFrame, row_id: str, fields: dict[str, bool], hot: int = HOT_GROUP) -> DataFrame:
     """(keep_id, row_id) of every row that isn't the smallest of its group.
 
+    Null matches null only; texts without letters and digits match each other and the empty
+    text; 0 and -0 are one number. Texts count whole. A row id that occurs twice with the
+    same record is one row. An empty table gives no rows; other columns are not read.
+
     Rows meet their group over the integer tuple. Groups of ``hot`` copies or more,
     of which there are at most rows / ``hot``, spread over ``SALTS`` join keys.
     """
