@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of the time blocks that split a hot key's history.
-BLOCK_US = 7 * 24 * 3600 * 1_000_000
+BLOCK_US = 24 * 3600 * 1_000_000
 
 
 def instant_us(text: Column) -> Column:
