@@ -12,18 +12,21 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import column_map
+from ..session import staged
 
 THRESHOLD = 0.5
 #: A name word is clear when at least this share of its uses is inside name frames.
 CLEAR_SHARE = 0.25
-#: Most name words the driver holds.
+#: Most name words the driver holds, and up to which they are broadcast to count their uses.
 MAX_WORDS = 2_000_000
+BROADCAST_WORDS = 500_000
 
 # Checksums ------------------------------------------------------------------
 
@@ -108,6 +111,8 @@ _IDS = [
 ]
 _PHONES = [(s, re.compile(_L + f"(?:{r})" + _R)) for s, r in _PHONES]
 _IDS = [(s, re.compile(_L + f"(?:{r})" + _R), check) for s, r, check in _IDS]
+#: The one identity number that may hold few digits.
+_ALPHANUMERIC = next(entry for entry in _IDS if "[CFGH" in entry[1].pattern)
 _PHONE_WORDS = re.compile(
     r"\b(?:tel|telephone|phone|mobile|cell|fax|call|ring|dial|whatsapp|tél|téléphon\w*|appele\w*|joindre|telefon\w*|teléfono|móvil|llam\w*|anruf\w*|rufnummer|handy|unter|reach me|numéro de tél\w*)\b|📞|☎",
     re.I,
@@ -126,15 +131,31 @@ def _digits(s: str) -> str:
     return re.sub(r"\D", "", s)
 
 
+#: Six digits or more with short separators: every number but the alphanumeric ones holds such a run.
+_RUN = re.compile(r"\d(?:[ ().\-/+]{0,3}\d){5,}")
+
+
+def _regions(text: str) -> list[tuple[int, int]]:
+    """Stretches of a text around its digit runs, wide enough for prefixes and extensions."""
+    out: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        a, b = max(0, m.start() - 12), m.end() + 24
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def numbers(text: str) -> list[tuple[int, int, str, float]]:
     """Phone and identity number candidates with their scores."""
     found = []
-    if not any(c.isdigit() for c in text):
-        return found
+    regions = _regions(text)
     for kind, table in (("phone", _PHONES), ("idnum", _IDS)):
         for entry in table:
             base, pattern = entry[0], entry[1]
-            for m in pattern.finditer(text):
+            where = [(0, len(text))] if entry is _ALPHANUMERIC else regions
+            for m in chain.from_iterable(pattern.finditer(text, a, b) for a, b in where):
                 before, after = text[max(0, m.start() - 56) : m.start()], text[m.end() : m.end() + 28]
                 if _NOT_PERSONAL.search(before):
                     continue
@@ -202,27 +223,27 @@ _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Frau|Herrn?|Hr|Fr|Mme|Mlle|Monsieur|M
 _ONE = r"(?:[^\W\d_]\.|[^\W\d_]+(?:['’-][^\W\d_]+)*)"
 _NAME = rf"(?P<n>{_ONE}(?:, {_ONE}(?: [^\W\d_]\.)?|(?: {_ONE}){{0,3}}?))"
 _MAIL = r"[\w.+-]+(?:@|\(at\)| \[at\])"
-#: Frames that enclose a name on both sides.
+#: Frames that enclose a name on both sides, each with literals one of which it holds.
 _FRAMES = [
-    re.compile(p)
-    for p in (
-        rf"\b(?:Reported by|Gemeldet von|Signalé par|Avisado por) {_TITLE}?{_NAME} \((?={_MAIL})",
-        rf'"(?:contact|name|author|owner)": ?"{_TITLE}?{_NAME}"',
-        rf"\bfirst\+last={_NAME} \|",
-        rf"\bContact: {_TITLE}?{_NAME} <(?={_MAIL})",
-        rf"\b(?:[Pp]lease call) {_TITLE}?{_NAME} on (?=[+(\d])",
-        rf"\b[Bb]itte {_TITLE}?{_NAME} unter (?=[+(\d])",
-        rf"\b[Mm]erci d['’]appeler {_TITLE}?{_NAME} au (?=[+(\d])",
-        rf"\b[Ll]lame a {_TITLE}?{_NAME} al (?=[+(\d])",
-        rf"(?:^|[\n.;!?>:] ?|  ){_TITLE}?{_NAME} (?:asked us to|reran the|wrote:|hat den Lauf|repitió la)",
-        rf"\bAccording to {_TITLE}?{_NAME} the ",
-        rf"\bas told by {_TITLE}?{_NAME} on the phone",
-        rf"\b(?:Hi|Hello|Dear|Hallo|Bonjour|Hola) {_TITLE}?(?P<n>{_ONE})[,:!]",
-        rf"\b(?:assignee|reviewer|titular|issued to|belongs to|still shows|owner|author)[:,]? {_TITLE}?{_NAME}(?=\n|\r|\Z|  |, \d|,? \()",
-        rf"\b(?:Best|Regards|Thanks|Thanks again|Cheers|Grüße|Gruß|Cordialement|Saludos|again),[ \n]{_NAME}(?=\n|\r|\Z|  )",
-        rf"\bApproved by {_TITLE}{_NAME} and ",
-        rf" and {_TITLE}{_NAME}(?=\n|\r|\Z|  )",
-        rf"(?:^|\n){_NAME};(?=[^;\n]*;)",
+    (literals, re.compile(p))
+    for literals, p in (
+        (("Reported by", "Gemeldet von", "Signalé par", "Avisado por"), rf"\b(?:Reported by|Gemeldet von|Signalé par|Avisado por) {_TITLE}?{_NAME} \((?={_MAIL})"),
+        (('": "', '":"'), rf'"(?:contact|name|author|owner)": ?"{_TITLE}?{_NAME}"'),
+        (("first+last=",), rf"\bfirst\+last={_NAME} \|"),
+        (("Contact:",), rf"\bContact: {_TITLE}?{_NAME} <(?={_MAIL})"),
+        (("lease call",), rf"\b(?:[Pp]lease call) {_TITLE}?{_NAME} on (?=[+(\d])"),
+        (("itte ",), rf"\b[Bb]itte {_TITLE}?{_NAME} unter (?=[+(\d])"),
+        (("erci d",), rf"\b[Mm]erci d['’]appeler {_TITLE}?{_NAME} au (?=[+(\d])"),
+        (("lame a ",), rf"\b[Ll]lame a {_TITLE}?{_NAME} al (?=[+(\d])"),
+        (("asked us to", "reran the", "wrote:", "hat den Lauf", "repitió la"), rf"(?:^|[\n.;!?>:] ?|  ){_TITLE}?{_NAME} (?:asked us to|reran the|wrote:|hat den Lauf|repitió la)"),
+        (("According to",), rf"\bAccording to {_TITLE}?{_NAME} the "),
+        (("as told by",), rf"\bas told by {_TITLE}?{_NAME} on the phone"),
+        (("Hi ", "Hello ", "Dear ", "Hallo ", "Bonjour ", "Hola "), rf"\b(?:Hi|Hello|Dear|Hallo|Bonjour|Hola) {_TITLE}?(?P<n>{_ONE})[,:!]"),
+        (("assignee", "reviewer", "titular", "issued to", "belongs to", "still shows", "owner", "author"), rf"\b(?:assignee|reviewer|titular|issued to|belongs to|still shows|owner|author)[:,]? {_TITLE}?{_NAME}(?=\n|\r|\Z|  |, \d|,? \()"),
+        (("Best,", "Regards,", "Thanks,", "again,", "Cheers,", "Grüße,", "Gruß,", "Cordialement,", "Saludos,"), rf"\b(?:Best|Regards|Thanks|Thanks again|Cheers|Grüße|Gruß|Cordialement|Saludos|again),[ \n]{_NAME}(?=\n|\r|\Z|  )"),
+        (("Approved by",), rf"\bApproved by {_TITLE}{_NAME} and "),
+        ((" and ",), rf" and {_TITLE}{_NAME}(?=\n|\r|\Z|  )"),
+        ((";",), rf"(?:^|\n){_NAME};(?=[^;\n]*;)"),
     )
 ]
 #: Words before a name that a name may follow; weaker than a frame.
@@ -269,7 +290,9 @@ def _split(name: str) -> tuple[list[str], list[str]]:
 def framed(text: str) -> list[tuple[int, int]]:
     """Spans of names enclosed by a frame."""
     out = []
-    for p in _FRAMES:
+    for literals, p in _FRAMES:
+        if not any(x in text for x in literals):
+            continue
         for m in p.finditer(text):
             words = m["n"].replace(",", "").split()
             if not words or any(w.casefold().rstrip(".") in _NEVER and len(w.rstrip(".")) > 1 for w in words):
@@ -307,8 +330,6 @@ def build_lexicon(documents: DataFrame, name_list: DataFrame) -> Lexicon:
     The driver collects name words only; it stops if they outgrow ``MAX_WORDS``.
     """
     listed = name_list.filter(F.col("token").isNotNull()).select(F.lower(F.trim("token")).alias("word"), F.col("token_kind").alias("kind"))
-    from ..session import staged
-
     learned = staged(learned_words(documents), "name_words")
     words = (
         listed.distinct().withColumn("listed", F.lit(True))
@@ -316,11 +337,17 @@ def build_lexicon(documents: DataFrame, name_list: DataFrame) -> Lexicon:
         .filter(F.col("listed") | (F.col("n") >= 2))
         .fillna({"n": 0})
     )
-    capital = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}+)*)"))
-    uses = documents.select(F.explode(capital).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("uses"))
-    rows = words.join(uses, "word", "left").limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
+    words = staged(words, "name_lexicon")
+    known = words.select("word").distinct()
+    size = known.count()
+    if size > MAX_WORDS:
         raise ValueError("too many name words for the driver")
+    # only uses of name words leave the scan
+    known = F.broadcast(known) if size <= BROADCAST_WORDS else known
+    capital = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}+)*)"))
+    seen = documents.select(F.explode(capital).alias("w")).select(F.lower("w").alias("word"))
+    uses = seen.join(known, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    rows = words.join(uses, "word", "left").collect()
     kinds: dict[str, set[str]] = {"given": set(), "family": set(), "town": set()}
     inside: dict[str, int] = {}
     total: dict[str, int] = {}
