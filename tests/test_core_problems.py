@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.jsontext import canonical, decode
 from tidemark.operators import nested, schema_drift, snapshots
 from tidemark.operators.delivery import SnapshotIndex
 from tidemark.operators.flooding import flood, name_similarity
@@ -211,6 +212,32 @@ def test_unified_tables_keep_every_record(real):
     assert schema_drift.unify_config(df).count() == sum(isinstance(brute.load(r["config_json"]), dict) for r in data)
 
 
+def found_again(texts, got):
+    """Runs with an option whose value is neither in its row's columns nor in not_cast."""
+    number = lambda t: str(float(t)) if canonical(t)[0] == "n" else t
+    want = {i: sorted(number(c if s == "fields" else c[1:]) for _, s, _, c in schema_drift.options_of(decode(t)) or ()) for i, t in texts}
+    have = {}
+    for r in (r.asDict() for r in got.collect()):
+        cells = [*(r.pop("not_cast", None) or {}).values(), *(v for k, v in r.items() if k != "run_id" and v is not None)]
+        have[r["run_id"]] = sorted(number(v) for v in cells)
+    return [i for i in want if want[i] != have.get(i, [])]
+
+
+def test_unified_config_keeps_every_value(real):
+    df, data = real
+    assert found_again([(r["id"], r["config_json"]) for r in data], schema_drift.unify_config(df)) == []
+
+
+def test_unified_config_keeps_retyped_texts(spark):
+    values = [1.5, 2, "1.0s", "30d", "5f", "3 per domain", "4", True, None, [1], 0.5, 3, 7, 8]
+    texts = [(i, config(retry={"backoff": v})) for i, v in enumerate(values)]
+    got = schema_drift.unify_config(runs(spark, [{"id": i, "config_json": t} for i, t in texts]))
+    assert found_again(texts, got) == []
+    kept = {r["run_id"]: r["not_cast"] for r in got.collect() if r["not_cast"]}
+    assert kept == {i: {"retry.backoff": t} for i, t in ((2, "1.0s"), (3, "30d"), (4, "5f"), (5, "3 per domain"), (7, "true"), (9, "[1]"))}
+    assert {r["run_id"]: r["retry.backoff"] for r in got.collect() if r["run_id"] in (0, 6)} == {0: 1.5, 6: 4.0}
+
+
 def test_flooding_prefers_connected_and_alike():
     left = [("root", "has", "price"), ("root", "has", "name")]
     right = [("root", "has", "cost_price"), ("root", "has", "title")]

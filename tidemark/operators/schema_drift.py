@@ -31,6 +31,8 @@ _REPORT = pa.schema(
 )
 #: Most distinct field names for which the global naming is built on the driver.
 MAX_NAMES = 20_000
+#: A text that is a number and nothing else; a cast alone would read ``30d`` and ``5f`` as numbers too.
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 Field = tuple[str, str, str]  # name, section, type
 
@@ -347,7 +349,9 @@ def unify_records(runs: DataFrame) -> DataFrame:
 def unify_config(runs: DataFrame) -> DataFrame:
     """All job configs in one table: ``run_id`` and one column per field or option.
 
-    A ``fields.*`` column holds selector and attr as JSON, any other its value.
+    A ``fields.*`` column holds selector and attr as JSON, any other its value; it is
+    double where most snapshots hold it as a number. What is no plain number there
+    stays as text, under its own name, in ``not_cast``.
     """
     index = build_config_index(runs)
     rows = index.filter(F.col("options").isNotNull())
@@ -357,4 +361,8 @@ def unify_config(runs: DataFrame) -> DataFrame:
     text = F.when(F.col("o.section") == "fields", F.col("o.content")).otherwise(F.expr("substring(o.content, 2)"))
     vals = rows.select("run_id", F.explode("options").alias("o")).select("run_id", F.col("o.name").alias("k"), text.alias("v"))
     mapped = vals.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("vals"))
-    return mapped.select("run_id", *_cast_columns(names, types, "vals"))
+    numeric = sorted(n for n, t in names.items() if types.get(t) == "number")
+    odd = lambda k, v: k.isin(numeric) & ~v.rlike(_NUMBER)
+    left = F.map_filter("vals", odd) if numeric else F.lit(None)
+    plain = mapped.withColumns({"left": left.cast("map<string,string>"), "vals": F.map_filter("vals", lambda k, v: ~odd(k, v)) if numeric else F.col("vals")})
+    return plain.select("run_id", *_cast_columns(names, types, "vals"), F.col("left").alias("not_cast"))
