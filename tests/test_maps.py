@@ -61,6 +61,52 @@ def test_map_round_trip(spark):
     assert [r["line"] for r in graph.mermaid_edges(parts[0], parts[1], F.col("name")).collect()] == ["    S0 -->|x| S1"]
 
 
+def states_of(texts):
+    """(run_id, seq, state_id, actions, transitions, skips) by brute force, from (run_id, text)."""
+    listed = lambda v: [v] if isinstance(v, dict) else v or []
+    out = []
+    for run, text in texts:
+        try:
+            m = json.loads(text)
+            m = json.loads(m) if isinstance(m, str) else m
+        except (ValueError, TypeError):
+            continue
+        more = [sum(x is not None for x in listed(m.get(k))) for k in ("transitions", "skipped")]
+        for seq, s in enumerate(listed(m.get("states"))):
+            if s is not None:
+                actions = s.get("actions")
+                out.append((run, seq, s["id"], None if actions is None else [(a["role"], a["name"]) for a in listed(actions)], *more))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def exploded(spark, texts):
+    runs = spark.createDataFrame(texts, "run_id bigint, exploration_json string")
+    states, transitions, skips = graph.explode_map(runs)
+    count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    df = states.join(count(transitions, "t"), "run_id", "left").join(count(skips, "k"), "run_id", "left").fillna(0, ["t", "k"])
+    return [
+        (r["run_id"], r["seq"], r["state_id"], None if r["actions"] is None else [(a["role"], a["name"]) for a in r["actions"]], r["t"], r["k"])
+        for r in df.orderBy("run_id", "seq").collect()
+    ]
+
+
+def test_maps_encoded_twice_and_bare_objects(spark):
+    a, b = {"role": "link", "name": "x"}, {"role": "button", "name": "y \" \u00e9"}
+    hop, skip = {"from": "s0", "action": a, "to": "s1", "changed": {"u": 1}}, {"from": "s1", "action": b, "reason": "r"}
+    full = {"states": [{"id": "s0", "actions": [a, b]}, None, {"id": "s1", "actions": b}, {"id": "s2"}], "transitions": [hop, None], "skipped": [skip]}
+    bare = {"states": {"id": "s0", "actions": a}, "transitions": hop, "skipped": skip}
+    texts = [json.dumps(full), json.dumps(json.dumps(full)), json.dumps(bare), json.dumps(json.dumps(bare)), " " + json.dumps(json.dumps({"states": [{"id": "s", "actions": []}]})), "{", '"{"', None, '"x"']
+    texts = list(enumerate(texts))
+    got = exploded(spark, texts)
+    assert got == states_of(texts) and len(got) == 9
+
+
+def test_stored_maps_equal_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/runs.parquet").select("id", "exploration_json").collect()
+    texts = [(r["id"], r["exploration_json"]) for r in rows]
+    assert exploded(spark, texts) == states_of(texts)
+
+
 SIGNALS = "struct<ax_node_count:int,console_messages:array<string>,storage_keys:array<string>,network_requests:array<string>,screenshot_hash:string>"
 
 

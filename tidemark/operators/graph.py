@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import column_map
+from ..functions.jsontext import MISSING, decode
 from ..session import staged
 
 
@@ -173,10 +178,37 @@ def replay_baseline(path_steps: DataFrame, edge_signals: DataFrame) -> DataFrame
     return path_steps.join(edge_signals, "on_edge").groupBy("edge").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
+_TEXTS = pa.schema([("run_id", pa.int64()), ("text", pa.string())])
+
+
+def _listed(node: dict, *keys: str) -> bool:
+    """Bare objects under ``keys`` become lists of one; True if there were any."""
+    bare = [k for k in keys if type(node.get(k)) is dict]
+    for k in bare:
+        node[k] = [node[k]]
+    return bool(bare)
+
+
+def map_text(text: str | None) -> str | None:
+    """The JSON text of a stored map, encoded once and with a list wherever one belongs; None if it doesn't parse."""
+    value = decode(text)
+    if value is MISSING:
+        return None
+    if type(value) is not dict:
+        return json.dumps(value)
+    changed = _listed(value, "states", "transitions", "skipped")
+    for state in value["states"] if type(value.get("states")) is list else ():
+        changed |= type(state) is dict and _listed(state, "actions")
+    if changed:
+        return json.dumps(value)
+    return json.loads(text) if text.lstrip().startswith('"') else text
+
+
 def explode_map(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """States, transitions and skips of stored exploration maps, each with its order.
 
-    ``runs``: run_id, exploration_json. What doesn't parse gives no rows.
+    ``runs``: run_id, exploration_json. What doesn't parse gives no rows; a map encoded
+    twice is decoded twice, and a bare object in place of a list is a list of one.
     """
     action = "struct<role:string,name:string,fill_value:string>"
     schema = (
@@ -184,7 +216,9 @@ def explode_map(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         f"transitions:array<struct<`from`:string,action:{action},`to`:string,changed:string>>,"
         f"skipped:array<struct<`from`:string,action:{action},reason:string>>>"
     )
-    m = runs.select("run_id", F.from_json("exploration_json", schema).alias("m"))
+    texts = runs.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("exploration_json").alias("text"))
+    decoded = texts.mapInArrow(column_map(lambda ids, ts: [ids, [map_text(t) for t in ts]], _TEXTS), "run_id bigint, text string")
+    m = decoded.select("run_id", F.from_json("text", schema).alias("m"))
     at = lambda name: m.select("run_id", F.posexplode(f"m.{name}").alias("seq", "x")).filter(F.col("x").isNotNull())
     states = at("states").select("run_id", "seq", F.col("x.id").alias("state_id"), "x.actions", "x.signals")
     transitions = at("transitions").select(
