@@ -12,14 +12,14 @@ from . import mixture, packing, pii, residue, spelling
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records and product names that hold template residue or notices."""
     return residue.find_residue(
-        spread_table(spark, folder, "runs", "id", "records_json"), spread_table(spark, folder, "juice_shop_products", "row_id", "name")
+        spread_table(spark, folder, "runs", "id", "site_id", "records_json"), spread_table(spark, folder, "juice_shop_products", "row_id", "site_id", "name")
     )
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Records and product names without residue."""
     return residue.without_residue(
-        spread_table(spark, folder, "runs", "id", "records_json"), spread_table(spark, folder, "juice_shop_products", "row_id", "name")
+        spread_table(spark, folder, "runs", "id", "site_id", "records_json"), spread_table(spark, folder, "juice_shop_products", "row_id", "site_id", "name")
     )
 
 
