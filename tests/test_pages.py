@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import dom, extract, frontier, healing, jobs
+from tidemark.plans import map_queries
 
 PAGE = """<html><head><title>T &amp; U</title><script>if (a < b) "</p>"</script></head><body>
 <nav><a href="/one">One</a><a href='two?x=1'>Two</a></nav>
@@ -197,6 +198,13 @@ def test_sitemaps(spark):
         "url string, body string",
     )
     assert sorted(r["url"] for r in frontier.sitemap_urls(bodies, "i").collect()) == ["u1", "u2"]
+    assert [r["url"] for r in frontier.sitemap_urls(bodies, "i", 1).collect()] == ["u1"]
+
+
+def test_sitemap_walk_lists_all_pages(spark, tmp_path):
+    n = frontier.MAX_SITEMAP_URLS + 100
+    spark.range(n).select(F.format_string("https://x.example/%d", "id").alias("url")).write.parquet(f"{tmp_path}/runs.parquet")
+    assert map_queries.sitemap_walk(spark, str(tmp_path)).distinct().count() == n
 
 
 def test_robots(spark):

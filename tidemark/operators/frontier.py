@@ -98,8 +98,11 @@ def sitemap_entries(bodies: DataFrame) -> DataFrame:
     return pages.unionByName(index).withColumn("loc", F.trim("loc")).filter(F.col("loc") != "")
 
 
-def sitemap_urls(bodies: DataFrame, start: str) -> DataFrame:
-    """Page locations reachable from a sitemap through its indexes, cycles cut, within the limits."""
+def sitemap_urls(bodies: DataFrame, start: str, max_urls: int | None = MAX_SITEMAP_URLS) -> DataFrame:
+    """Page locations reachable from a sitemap through its indexes, cycles cut, within the limits.
+
+    Beyond ``max_urls`` the first by url are kept; None keeps all.
+    """
     spark = bodies.sparkSession
     entries = staged(sitemap_entries(bodies), "sitemaps")
     queue = spark.createDataFrame([(start,)], "url string")
@@ -112,7 +115,8 @@ def sitemap_urls(bodies: DataFrame, start: str) -> DataFrame:
         fetched += n
         done = done.unionByName(take)
         queue = entries.filter("is_index").join(take, "url").select(F.col("loc").alias("url"))
-    return entries.filter("not is_index").join(done, "url").select(F.col("loc").alias("url")).distinct().limit(MAX_SITEMAP_URLS)
+    urls = entries.filter("not is_index").join(done, "url").select(F.col("loc").alias("url")).distinct()
+    return urls if max_urls is None else urls.orderBy("url").limit(max_urls)
 
 
 @F.pandas_udf(T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("delay", T.DoubleType())]))

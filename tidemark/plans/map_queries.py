@@ -277,7 +277,7 @@ def sitemap_walk(spark, d):
     maps = urls.groupBy("part").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc(F.col("url"))), ""), F.lit("</urlset>")).alias("body"))
     maps = maps.select(F.concat(F.lit("https://x.example/map"), "part").alias("url"), "body")
     index = maps.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("body"))
-    return frontier.sitemap_urls(maps.unionByName(index.select(F.lit("https://x.example/index").alias("url"), "body")), "https://x.example/index")
+    return frontier.sitemap_urls(maps.unionByName(index.select(F.lit("https://x.example/index").alias("url"), "body")), "https://x.example/index", None)
 
 
 @query(
