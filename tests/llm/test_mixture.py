@@ -33,6 +33,22 @@ def test_apportionment(parties, seats):
     assert mixture.apportion(votes, seats, caps) == by_quotients(votes, seats, caps)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=6), st.integers(0, 60), st.integers(0, 4))
+def test_shards_give_all_their_source_may(sizes, blocks, cap):
+    got = mixture.shard_quotas(sizes, blocks, cap, 16)
+    wanted = min(blocks * 16, cap * sum(sizes))
+    assert all(q <= cap * n for q, n in zip(got, sizes)) and wanted <= sum(got) <= max(wanted + 15, wanted)
+
+
+def test_small_sources_are_used_up(spark):
+    """Less than a block, or a rest after the last block, is a short block and isn't lost."""
+    docs, targets = frames(spark, [(1, "x" * 10, "a"), (2, "y" * 3000, "b"), (3, "z" * 1500, "c"), (4, "w" * 4000, None)], [("a", 0.3, 1), ("b", 0.3, 3), ("c", 0.4, 1)])
+    rows = {r["source_name"]: r for r in mixture.reached(docs, targets).collect()}
+    assert rows["a"]["mix_tokens"] == 10 and rows["c"]["mix_tokens"] == 1500 and rows["a"]["short"] and rows["c"]["short"]
+    assert rows["a"]["quota_tokens"] == 10 and rows["c"]["quota_tokens"] == 1500 and rows["b"]["mix_tokens"] >= 6000
+
+
 DDL, TARGETS = "doc_id bigint, text string, source string", "source_name string, target_share double, max_repeats int"
 
 

@@ -52,6 +52,46 @@ def test_plan_places_everything_once(histogram, capacity):
     assert p.containers <= 2 * -(-total // capacity) + 1
 
 
+def by_container(p, histogram):
+    held = defaultdict(list)
+    placed = [tuple(map(int, r)) for r in p.placed]
+    for i, (length, rank, per, first) in enumerate(placed):
+        end = placed[i + 1][1] if i + 1 < len(placed) and placed[i + 1][0] == length else histogram[length]
+        for r in range(rank, end):
+            held[first + (r - rank) // per].append(length)
+    return held
+
+
+HISTOGRAM = {x: 1 + (x * 7919) % 5 for x in [*range(3, 40, 4), *range(41, 100, 3)]}
+
+
+def test_bounds_decide_what_shares_a_batch():
+    plans = {k: packing.plan(HISTOGRAM, 100, k) for k in (1, 4, 12)}
+    made = {k: sorted(sorted(v) for v in by_container(p, HISTOGRAM).values()) for k, p in plans.items()}
+    assert made[1] != made[4] != made[12]
+    other = packing.bucket_bounds
+    try:
+        packing.bucket_bounds = lambda lengths, counts, buckets: [max(lengths)]
+        assert sorted(sorted(v) for v in by_container(packing.plan(HISTOGRAM, 100, 4), HISTOGRAM).values()) == made[1]
+    finally:
+        packing.bucket_bounds = other
+
+
+def test_batches_stay_in_their_bucket_without_topping_up():
+    p = packing.plan(HISTOGRAM, 100, 6, top_up=False)
+    bucket = lambda x: next(i for i, b in enumerate(p.bounds) if x <= b)
+    held = by_container(p, HISTOGRAM)
+    assert all(len({bucket(x) for x in v}) == 1 for v in held.values())
+    assert packing.plan(HISTOGRAM, 100, 6).containers < p.containers
+
+
+def test_a_batch_is_topped_up_by_shorter_buckets_only():
+    p = packing.plan(HISTOGRAM, 100, 6)
+    bucket = lambda x: next(i for i, b in enumerate(p.bounds) if x <= b)
+    own = {first + k: b for first, count, _, b in p.runs for k in range(count)}
+    assert all(max(map(bucket, v)) == own[c] for c, v in by_container(p, HISTOGRAM).items())
+
+
 def test_too_long_item():
     with pytest.raises(ValueError):
         packing.plan({11: 1}, 10)

@@ -2,9 +2,11 @@
 
 The mix is a number of blocks of equal size. Blocks go to sources by highest
 quotients, never beyond what a source's documents give at ``max_repeats`` uses; a
-source's blocks go to its shards the same way. So every shard has an integer quota,
-and fills it from its documents in seeded order, shard by shard without talking to
-others: whole passes first, then the leading blocks of the order once more.
+source's blocks go to its shards the same way. So every shard has an integer quota.
+A shard puts its documents in seeded order, cuts the order into blocks of equal tokens
+(a document belongs to the block that holds its middle) and selects as many as its quota
+says, starting over at the first where the documents may be used again; it needs no word
+from other shards. What is left of a source after its last full block is a short block.
 """
 
 from __future__ import annotations
@@ -61,6 +63,23 @@ def apportion(votes: list, seats: int, caps: list[int] | None = None) -> list[in
     return out
 
 
+def shard_quotas(sizes: list[int], blocks: int, cap: int, block: int) -> list[int]:
+    """Tokens that each shard gives of ``blocks`` blocks of its source, at most ``cap`` times its size.
+
+    Seats go by Sainte-Laguë; where a shard's last block is short, others take what is missing.
+    """
+    most = [cap * n for n in sizes]
+    wanted = min(blocks * block, sum(most))
+    caps = [-(-m // block) for m in most]
+    seats = blocks
+    while True:
+        got = [min(q * block, m) for q, m in zip(apportion(sizes, seats, caps), most)]
+        missing = wanted - sum(got)
+        if missing <= 0:
+            return got
+        seats += -(-missing // block)
+
+
 def source_key(name: Column) -> Column:
     """Source names match after trimming blanks, tabs too, and ignoring case."""
     return F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
@@ -101,9 +120,10 @@ def plan(documents: DataFrame, targets: DataFrame, mix_tokens: int | None = None
     no tokens; documents without a named source count for the size only. Targets without a
     name are left out. Without documents nothing is short and nothing is drawn.
 
-    The mix is ``mix_tokens`` tokens large, by default as large as all documents, those
-    of no source included. ``short``: max_repeats times the source's tokens is less
-    than its share of that.
+    The mix is ``mix_tokens`` tokens large, rounded up to blocks, by default as large as all
+    documents, those of no source included. ``short``: the apportionment ended at (or within
+    rounding of) what the source has, and by the exact count max_repeats times the source's
+    tokens is less than its share of the mix.
     """
     wanted = _targets(targets)
     docs = staged(_sized(documents, tokenizer), "mixture_sizes")  # texts are read once
@@ -118,19 +138,20 @@ def plan(documents: DataFrame, targets: DataFrame, mix_tokens: int | None = None
     by_key: dict[str, list] = {k: [] for k in keys}
     for r in sorted(parts, key=lambda r: (r["key"], r["shard"])):
         by_key[r["key"]].append((r["shard"], r["tokens"]))
-    caps = [sum(t["cap"] * n // block for _, n in by_key[t["key"]]) for t in wanted]
-    blocks = apportion([t["share"] for t in wanted], size // block, caps)
+    tokens = [totals[k]["tokens"] if k in totals else 0 for k in keys]
+    caps = [-(-t["cap"] * n // block) for t, n in zip(wanted, tokens)]
+    blocks = apportion([t["share"] for t in wanted], -(-size // block), caps)
     quotas, report = [], []
-    for t, given, cap in zip(wanted, blocks, caps):
+    for t, n, given, cap in zip(wanted, tokens, blocks, caps):
         have = by_key[t["key"]]
-        for (shard, tokens), q in zip(have, apportion([n for _, n in have], given, [t["cap"] * n // block for _, n in have])):
+        for (shard, held), q in zip(have, shard_quotas([h for _, h in have], given, t["cap"], block)):
             if q:
-                quotas.append((t["key"], shard, q * block // tokens, q * block % tokens))
-        found = totals[t["key"]] if t["key"] in totals else None
-        tokens = found["tokens"] if found else 0
-        report.append(
-            (t["key"], t["source_name"], float(t["share"]), int(t["cap"]), found["docs"] if found else 0, tokens, given, given * block, t["cap"] * tokens < Fraction(t["share"]) * size)
-        )
+                quotas.append((t["key"], shard, q // held, q % held))
+        # a quota is never further below its exact share than half a block a source
+        ended = given >= cap - len(wanted)
+        short = ended and t["cap"] * n < Fraction(t["share"]) * size
+        docs_of = totals[t["key"]]["docs"] if t["key"] in totals else 0
+        report.append((t["key"], t["source_name"], float(t["share"]), int(t["cap"]), docs_of, n, given, min(given * block, t["cap"] * n), short))
     return docs, shards, quotas, report
 
 
@@ -149,7 +170,8 @@ def source_report(documents: DataFrame, targets: DataFrame, **options) -> DataFr
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, **options) -> DataFrame:
     """(doc_id, key, n_tokens, uses): every document that is used, and how often.
 
-    Documents stay whole, so a shard meets its quota to half a document.
+    Documents stay whole, so a shard meets its quota to half a document. ``uses``: how many
+    of the shard's selected blocks hold the document's middle.
     """
     docs, shards, quotas, _ = plan(documents, targets, **options)
     return _uses(docs, shards, quotas, seed)
@@ -159,8 +181,8 @@ def _uses(docs: DataFrame, shards: dict[str, int], quotas: list[tuple], seed: in
     quota = docs.sparkSession.createDataFrame(quotas, "key string, shard int, passes bigint, rest bigint")
     rows = docs.filter(F.col("n_tokens") > 0).withColumn("shard", _shard(shards)).join(F.broadcast(quota), ["key", "shard"])
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("n_tokens").over(order)
-    uses = F.col("passes") + (upto - F.col("n_tokens") / 2 < F.col("rest")).cast("bigint")
+    middle = F.sum("n_tokens").over(order) - F.col("n_tokens") / 2
+    uses = F.col("passes") + (middle < F.col("rest")).cast("bigint")
     return rows.withColumn("uses", uses).filter("uses > 0").select("doc_id", "key", "n_tokens", "uses")
 
 

@@ -3,9 +3,9 @@
 The histogram of lengths, one count per length up to the capacity, is all the driver
 sees. A dynamic programme picks the bucket boundaries with the least padding. Going
 from the longest bucket to the shortest, a bucket's items first top up the room that
-batches of longer buckets left, best fit first; what remains forms token-budget
-batches of its own bucket. All that happens to *counts*, so the plan's size depends
-on the capacity alone. Items then look their container up by length and rank.
+batches of longer buckets left; what remains forms token-budget batches of its own
+bucket. All that happens to *counts*, so the plan's size depends on the capacity alone.
+Items then look their container up by length and rank.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def bucket_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS)
 @dataclass
 class Plan:
     """Where items go: rows (length, first rank, items per container, first container) sorted
-    by length and rank, and runs of containers (first, count, room, bucket)."""
+    by length and rank, and runs of containers (first, count, room, bucket of its batch)."""
 
     capacity: int
     bounds: list[int]
@@ -84,57 +84,97 @@ class Plan:
     containers: int
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, buckets: int = BUCKETS) -> Plan:
-    """Pack counts of items by length (1 to ``capacity``) into containers."""
+class _Rooms:
+    """Runs of containers by the room they have left."""
+
+    def __init__(self):
+        self.runs: dict[int, list[tuple[int, int, int]]] = {}  # room: (first container, count, bucket)
+        self.sizes: list[int] = []  # rooms in use, ascending
+
+    def put(self, room: int, run: tuple[int, int, int]) -> None:
+        if room not in self.runs:
+            self.runs[room] = []
+            insort(self.sizes, room)
+        self.runs[room].append(run)
+
+    def take(self, length: int) -> tuple[int, tuple[int, int, int]] | None:
+        """The tightest run that has room for one item of ``length``."""
+        i = bisect_left(self.sizes, length)
+        if i == len(self.sizes):
+            return None
+        room = self.sizes[i]
+        run = self.runs[room].pop()
+        if not self.runs[room]:
+            del self.runs[room]
+            self.sizes.pop(i)
+        return room, run
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, buckets: int = BUCKETS, top_up: bool = True) -> Plan:
+    """Pack counts of items by length (1 to ``capacity``) into containers.
+
+    From the longest bucket to the shortest: the bucket's items go, longest first, into the
+    tightest room that closed batches of longer buckets left (not without ``top_up``); those
+    for which there is none form the bucket's own token-budget batches: one after another,
+    longest first, a batch is closed when the next item no longer fits. What a batch has
+    left is for shorter buckets, so the bounds decide which lengths share a container.
+    """
     lengths = sorted(length for length, count in histogram.items() if count > 0 and length > 0)
     if lengths and lengths[-1] > capacity:
         raise ValueError("an item is longer than a container")
     bounds = bucket_bounds(lengths, [histogram[x] for x in lengths], buckets)
     placed: list[tuple[int, int, int, int]] = []
-    rooms: dict[int, list[tuple[int, int, int]]] = {}  # room: (first container, count, bucket)
-    sizes: list[int] = []  # rooms in use, ascending
+    closed = _Rooms()
     total = 0
 
-    def put(room, run):
-        if room not in rooms:
-            rooms[room] = []
-            insort(sizes, room)
-        rooms[room].append(run)
-
-    def fill(length, rank, left, run, room):
-        """Place up to ``left`` items into a run of containers; what is left, next rank."""
+    def fill(rooms: _Rooms, length: int, rank: int, left: int, room: int, run: tuple[int, int, int]) -> tuple[int, int]:
+        """Place up to ``left`` items into a run of containers; the next rank and what is left."""
         first, count, bucket = run
         per = room // length
         whole = min(count, left // per)
         if whole:
             placed.append((length, rank, per, first))
-            put(room - per * length, (first, whole, bucket))
+            rooms.put(room - per * length, (first, whole, bucket))
             rank, left = rank + whole * per, left - whole * per
         if whole < count and left:
             placed.append((length, rank, left, first + whole))
-            put(room - left * length, (first + whole, 1, bucket))
+            rooms.put(room - left * length, (first + whole, 1, bucket))
             rank, left, whole = rank + left, 0, whole + 1
         if whole < count:
-            put(room, (first + whole, count - whole, bucket))
+            rooms.put(room, (first + whole, count - whole, bucket))
         return rank, left
 
     for bucket in range(len(bounds) - 1, -1, -1):
         low = bounds[bucket - 1] if bucket else 0
-        for length in [x for x in reversed(lengths) if low < x <= bounds[bucket]]:
-            rank, left = 0, histogram[length]
-            while left and (i := bisect_left(sizes, length)) < len(sizes):
-                room = sizes[i]
-                run = rooms[room].pop()
-                if not rooms[room]:
-                    del rooms[room]
-                    sizes.pop(i)
-                rank, left = fill(length, rank, left, run, room)
-            if left:
-                per = capacity // length
-                count = -(-left // per)
-                fill(length, rank, left, (total, count, bucket), capacity)
-                total += count
-    runs = sorted((first, count, room, bucket) for room, many in rooms.items() for first, count, bucket in many)
+        own = [x for x in reversed(lengths) if low < x <= bounds[bucket]]
+        rest = {length: (0, histogram[length]) for length in own}
+        for length in own if top_up else ():
+            rank, left = rest[length]
+            while left and (spot := closed.take(length)):
+                rank, left = fill(closed, length, rank, left, *spot)
+            rest[length] = rank, left
+        at, room = 0, 0  # the batch that is being filled
+        for length in own:
+            rank, left = rest[length]
+            while left:
+                if room < length:
+                    if room:
+                        closed.put(room, (at, 1, bucket))
+                    many = left // (capacity // length)  # whole batches of this length
+                    if many:
+                        rank, left = fill(closed, length, rank, left, capacity, (total, many, bucket))
+                        total += many
+                    at, room = (total, capacity) if left else (0, 0)
+                    total += bool(left)
+                take = min(left, room // length)
+                if take:
+                    placed.append((length, rank, take, at))
+                    rank, left, room = rank + take, left - take, room - take * length
+                    if not room:
+                        closed.put(0, (at, 1, bucket))
+        if room:
+            closed.put(room, (at, 1, bucket))
+    runs = sorted((first, count, room, bucket) for room, many in closed.runs.items() for first, count, bucket in many)
     as_array = lambda rows, n: np.array(sorted(rows), dtype=np.int64).reshape(-1, n)
     return Plan(capacity, bounds, as_array(placed, 4), as_array(runs, 4), total)
 

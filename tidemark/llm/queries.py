@@ -52,6 +52,17 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its pieces and tokens, and whether load and room of all its containers add up."""
+    placed = packing.pack(table(spark, folder, "documents", "doc_id", "text")).filter("container is not null")
+    loads = placed.groupBy("container").agg(F.sum("n_tokens").alias("load"), F.min("room_left").alias("least"), F.max("room_left").alias("most"))
+    good = (F.col("least") == F.col("most")) & (F.col("load") + F.col("least") == packing.CAPACITY)
+    rows = placed.join(loads.select("container", good.alias("good")), "container")
+    return rows.groupBy("doc_id").agg(
+        F.count_distinct("piece").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"), F.bool_and("good").alias("good")
+    )
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that can't reach their share of a mix as large as all documents."""
     report = mixture.source_report(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
@@ -63,6 +74,22 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
 
 
+def p7_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks and tokens of each source by highest quotients."""
+    report = mixture.source_report(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+    return report.select("source_name", "blocks", "quota_tokens")
+
+
+def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source whether no document is used too often and the mix meets the quota to a document a shard."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "source")
+    rows = mixture.reached(documents, table(spark, folder, "mix_targets"))
+    largest = F.lit(documents.agg(F.max(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    shards = F.ceil(F.col("docs") / mixture.SHARD_DOCS)
+    met = F.abs(F.col("mix_tokens") - F.col("quota_tokens")) <= shards * largest
+    return rows.select("source_name", (F.col("most_uses") <= F.col("max_repeats")).alias("uses_kept"), met.alias("quota_met"))
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares reached."""
     return mixture.reached(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
@@ -80,7 +107,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_collapsed, p3_found, p3_clean, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_redacted)
+    for f in (p2_found, p2_collapsed, p3_found, p3_clean, p6_found, p6_containers, p6_audit, p7_found, p7_mix, p7_quotas, p7_shares, p7_audit, p8_found, p8_redacted)
 }
 
 def _fold(c: str) -> str:
@@ -99,13 +126,27 @@ _GROUPS = " UNION ALL ".join(
 )
 _KEY = "lower(regexp_replace({c}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g'))"
 
+_SHARES = (
+    f"WITH d AS (SELECT {_KEY.format(c='source')} AS k, coalesce(strlen(text), 0) AS n FROM documents), "
+    f"m AS (SELECT {_KEY.format(c='source_name')} AS k, min(source_name) AS source_name, sum(target_share) AS share, max(max_repeats) AS cap FROM mix_targets GROUP BY 1), "
+    "t AS (SELECT m.*, CAST(coalesce((SELECT sum(n) FROM d WHERE d.k = m.k), 0) AS BIGINT) AS tokens FROM m)"
+)
+
 SQL: dict[str, str] = {
     "p2_found": f"SELECT listing, keep_id, row_id FROM ({_GROUPS}) WHERE row_id <> keep_id",
     "p2_collapsed": f"SELECT listing, keep_id, copies FROM ({_GROUPS}) WHERE row_id = keep_id",
     "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
-    "p7_found": (
-        f"WITH d AS (SELECT {_KEY.format(c='source')} AS k, coalesce(strlen(text), 0) AS n FROM documents), "
-        f"t AS (SELECT {_KEY.format(c='source_name')} AS k, min(source_name) AS source_name, sum(target_share) AS share, max(max_repeats) AS cap FROM mix_targets GROUP BY 1) "
-        "SELECT source_name FROM t WHERE cap * coalesce((SELECT sum(n) FROM d WHERE d.k = t.k), 0) < share * (SELECT sum(n) FROM d)"
+    "p6_audit": (
+        "SELECT doc_id, CAST(sum(ceil(n / 8192)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, max(least(n, 8192)) AS longest, true AS good "
+        "FROM (SELECT doc_id, strlen(text) AS n FROM documents WHERE strlen(text) > 0) GROUP BY doc_id"
+    ),
+    "p7_found": f"{_SHARES} SELECT source_name FROM t WHERE cap * tokens < share * (SELECT sum(n) FROM d)",
+    "p7_quotas": (
+        f"{_SHARES}, c AS (SELECT *, CAST((cap * tokens + 1023) // 1024 AS BIGINT) AS most FROM t), s AS (SELECT CAST((sum(n) + 1023) // 1024 AS BIGINT) AS seats FROM d), "
+        "v AS (SELECT k, share / (2 * i + 1) AS v FROM (SELECT k, share, unnest(range(least(most, seats))) AS i FROM c, s WHERE share > 0)), "
+        "w AS (SELECT k, row_number() OVER (ORDER BY v DESC, k) AS r FROM v), "
+        "g AS (SELECT k, count(*) AS n FROM w, s WHERE r <= seats GROUP BY k) "
+        "SELECT source_name, coalesce(g.n, 0) AS blocks, least(coalesce(g.n, 0) * 1024, cap * tokens) AS quota_tokens FROM c LEFT JOIN g USING (k)"
     ),
+    "p7_audit": f"{_SHARES} SELECT source_name, true AS uses_kept, true AS quota_met FROM t",
 }
