@@ -64,7 +64,62 @@ def test_spans(marked):
     assert show(got) == show(spans) and got == sorted(spans)
 
 
+#: Number formats beside no word, in wording that no pattern holds; right check digits, then wrong ones.
+RIGHT = ["046 454 286", "4539 5787 6362 1486", "371449635398431", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "86095742719", "12345678Z", "X1234567L", "1 85 05 78 006 084 91"]
+WRONG = ["046 454 287", "4539 5787 6362 1487", "371449635398432", "DE88 3704 0044 0532 0130 00", "GB83WEST12345698765432", "86095742718", "12345678A", "X1234567M", "1 85 05 78 006 084 90"]
+
+
+def test_checksums_decide_without_words():
+    found = lambda n: FINDER.spans(f"The clerk copied {n} twice.")
+    kinds = lambda n: [(a, b, k) for a, b, k in found(n) if k == "idnum"]
+    assert [kinds(n) for n in RIGHT] == [[(17, 17 + len(n), "idnum")] for n in RIGHT]
+    assert not any(kinds(n) for n in WRONG)
+
+
+def test_words_beside_a_number_outweigh_its_check_digit():
+    for text in ("Her national id is 86095742718", "SIN: 046 454 287", "DNI 12345678A", "sécu : 1 85 05 78 006 084 90"):
+        (a, b, kind), = FINDER.spans(text)
+        assert kind == "idnum" and text[a:b][0].isdigit()
+    assert FINDER.spans("SIN: 046 454 286")[0][2] == "idnum" and FINDER.spans("call 046 454 286")[0][2] == "phone"
+
+
+HELD_OUT = [
+    "Kindly forward the parcel for <name:Thea Castelmoro> to <address:14 Wexmoor Lane, Flat 3, Nether Oddlow, OW 00777>.",
+    "Whoever wrote <email:first.last@dept.example.org> should ring <phone:+44 20 7946 0958>.",
+    "<name:Corwen Harvestane> swore that <idnum:4111 1111 1111 1111> was stolen.",
+    "Transfer it to <idnum:FR14 2004 1010 0505 0001 3M02 606> by Friday, said <name:Günther Castelmoro>.",
+    "Meine Anschrift lautet <address:Lindenstraße 12, 00415 Wexmoor>, Handy <phone:+49 171 5550123>.",
+    "Nous habitons <address:8 rue du Moulin, 00880 Wexmoor>; <phone:01 99 00 38 61> le soir.",
+    "Vivo en <address:Calle Mayor, 3, 2º A, 00123 Wexmoor> y mi NIF es <idnum:12345678Z>.",
+    "The order 4111111111111112 and the hash 9f92a92c0ffee92d are no cards; build 123-456-789 neither.",
+    "Passport <idnum:ZZ1234567> and the licence of <name:T. Harvestane> lay there.",
+]
+
+
+@pytest.mark.parametrize("marked", HELD_OUT)
+def test_held_out_wording(marked):
+    text, spans = parse(marked)
+    got = FINDER.spans(text)
+    assert [(text[a:b], k) for a, b, k in got] == [(text[a:b], k) for a, b, k in spans]
+
+
+def test_more_name_words_than_the_driver_holds(spark, monkeypatch):
+    docs = corpus(spark, ["Hi Jorvi, see Jorvi Sorensby.", None, "Thea Castelmoro met Jorvi Sorensby", "Hi Jorvi, x", "no one", "Thea Castelmoro met Jorvi Sorensby"])
+    listed = names(spark, [("Thea", "given"), ("Castelmoro", "family"), ("Sorensby", "family"), ("Wexmoor", "town")])
+    want = sorted(tuple(r) for r in pii.find(docs, listed).collect())
+    monkeypatch.setattr(pii, "MAX_WORDS", 1)
+    assert sorted(tuple(r) for r in pii.find(docs, listed).collect()) == want and len(want) >= 6
+
+
+def test_without_the_automaton(monkeypatch):
+    plain = [FINDER.spans(parse(t)[0]) for t in TEXTS]
+    monkeypatch.setattr(pii, "ahocorasick", None)
+    slow = pii.Finder(pii.Lexicon(LEX.given, LEX.family, LEX.common, LEX.towns))
+    assert [slow.spans(parse(t)[0]) for t in TEXTS] == plain
+
+
 def test_checksums():
+    assert pii.iban("DE89370400440532013000") and not pii.iban("DE89370400440532013001")
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     n = "1850578006084"
     assert pii.mod97_key(n + f"{97 - int(n) % 97:02d}") and not pii.mod97_key(n + "00")
