@@ -7,6 +7,8 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .snapshots import probe
+
 
 class SnapshotIndex:
     """The key-to-hash index of a table's last snapshot, as a bucketed table at ``path``.
@@ -65,9 +67,8 @@ class SnapshotIndex:
             pointer.write.mode("append").parquet(self._pointer())
             return new.select(self.key, F.lit("added").alias("change_kind"), F.lit(None).cast(new.schema["v"].dataType).alias("old"), F.col("v").alias("new"))
         old = self._table(last)
-        probe = new.select(self.key, F.col("h").alias("nh")).join(old.select(self.key, F.col("h").alias("oh")), self.key, "full_outer")
-        hit = probe.filter(~F.col("nh").eqNullSafe(F.col("oh")))
-        kind = F.when(F.col("oh").isNull(), "added").when(F.col("nh").isNull(), "removed").otherwise("changed")
+        hit = probe(new.select(self.key, "h"), old.select(self.key, "h"), [self.key])
+        kind = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed").otherwise("changed")
         found = hit.select(self.key, kind.alias("change_kind"))
         out = found.join(old.select(self.key, F.col("v").alias("old")), self.key, "left").join(new.select(self.key, F.col("v").alias("new")), self.key, "left")
         pointer.write.mode("append").parquet(self._pointer())

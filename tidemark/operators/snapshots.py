@@ -1,14 +1,14 @@
 """What changed between consecutive full snapshots, by a bucketed key-to-hash index.
 
-:func:`build_index` parses every snapshot once and keeps, per snapshot, the hash of
-each key's record next to its values, bucketed by snapshot. A step *probes* the
-index of the last snapshot with the keys and hashes of the new one; that alone
+:func:`read_snapshots` parses every snapshot once and keeps, per snapshot, the hash of each
+key's record apart from its values. The *index* of a snapshot holds its keys and hashes
+only, bucketed by (snapshot, key), so no snapshot, url or key is one task's. A step
+*probes* the index of the last snapshot with the keys and hashes of the new one; that alone
 tells added and removed keys, and which keys may have changed. Only for the latter
-are *old values fetched* (the value column of the index is not read for anything
-else) and compared field by field. Then the indexes *swap*: the new snapshot's
-index is what the next one is probed against. :class:`.delivery.SnapshotIndex` does one
-step for one delivery; :func:`changes` unrolls all steps of a history at once, since the
-swap only says which snapshot's index is read by which probe.
+are *old values fetched* and compared field by field. Then the indexes *swap*: the new
+snapshot's index is what the next one is probed against. :class:`.delivery.SnapshotIndex`
+does one step for one delivery; :func:`changes` unrolls all steps of a history at once, since
+the swap only says which snapshot's index is read by which probe. Both share :func:`probe`.
 """
 
 from __future__ import annotations
@@ -94,51 +94,40 @@ def snapshot_rows(runs: DataFrame, key: str = "sku") -> DataFrame:
     return slim.mapInArrow(column_map(walk, _INDEX), INDEX_DDL)
 
 
-def build_index(runs: DataFrame, key: str = "sku") -> DataFrame:
-    """The key-to-hash index of every run, bucketed by run and kept in the shared folder."""
-    return staged_buckets(snapshot_rows(runs, key), "snapshot_index", "run_id")
+def read_snapshots(runs: DataFrame, key: str = "sku") -> DataFrame:
+    """Every run's key hashes and values, parsed once and kept in the shared folder."""
+    return staged(snapshot_rows(runs, key), "snapshots")
 
 
-def steps(index: DataFrame) -> DataFrame:
+def steps(snaps: DataFrame) -> DataFrame:
     """(new_id, prev_id) of consecutive records snapshots of each url.
 
     Of rows with one url and instant the highest id stands, even where its records
     are broken; a snapshot needs a record with a key.
     """
-    slim = index.select("run_id", "url", "ts", (F.coalesce(F.size("keys"), F.lit(0)) > 0).alias("valid"))
+    slim = snaps.select("run_id", "url", "ts", (F.coalesce(F.size("keys"), F.lit(0)) > 0).alias("valid"))
     kept = standing(slim, "url", "ts", "run_id").filter("valid")
     return consecutive(kept, "url", "ts", "run_id")
 
 
-def _probe(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Key hashes of both sides of each step: (new_id, prev_id, sku, new_h, old_h)."""
-    new = index.select("run_id", "keys").join(pairs, F.col("run_id") == F.col("new_id"))
-    old = index.select("run_id", "keys").join(pairs, F.col("run_id") == F.col("prev_id"))
-    side = lambda df, flag: df.select("new_id", "prev_id", F.inline("keys"), F.lit(flag).alias("is_new"))
-    both = side(new, True).unionByName(side(old, False))
-    return both.groupBy("new_id", "prev_id", "sku").agg(
-        F.max(F.when(F.col("is_new"), F.col("h"))).alias("new_h"),
-        F.max(F.when(~F.col("is_new"), F.col("h"))).alias("old_h"),
-    )
+def probe(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` with hashes ``new_h`` and ``old_h`` of what isn't the same on both sides.
+
+    ``new`` and ``old`` have the keys and a hash ``h`` of each row, keys once on each side.
+    """
+    both = new.withColumnRenamed("h", "new_h").join(old.withColumnRenamed("h", "old_h"), keys, "full_outer")
+    return both.filter(~F.col("new_h").eqNullSafe(F.col("old_h")))
 
 
-def _verify(index: DataFrame, suspects: DataFrame) -> DataFrame:
+def _verify(snaps: DataFrame, suspects: DataFrame) -> DataFrame:
     """Of suspect keys those with an unequal value in a field that both snapshots have."""
-    wanted = suspects.groupBy("new_id", "prev_id").agg(F.collect_set("sku").alias("skus"))
-    roles = wanted.select("new_id", "skus", F.explode(F.array("new_id", "prev_id")).alias("run_id"))
-    rows = index.select("run_id", "fields", "keys", "vals").join(roles, "run_id")
-    picked = rows.select(
-        "new_id",
-        (F.col("run_id") == F.col("new_id")).alias("is_new"),
-        "fields",
-        "skus",
-        F.explode(F.arrays_zip(F.col("keys.sku").alias("sku"), F.col("vals").alias("v"))).alias("e"),
-    ).filter(F.array_contains("skus", F.col("e.sku")))
-    pair = picked.groupBy("new_id", F.col("e.sku").alias("sku")).agg(
-        *(
-            F.max(F.when(cond, F.struct("fields", F.col("e.v").alias("v")))).alias(name)
-            for name, cond in (("new", F.col("is_new")), ("old", ~F.col("is_new")))
-        )
+    roles = F.inline(F.array(*(F.struct(F.col(c).alias("run_id"), F.lit(c == "new_id").alias("is_new")) for c in ("new_id", "prev_id"))))
+    wanted = suspects.select("new_id", "prev_id", "sku").select("new_id", "sku", roles)
+    entry = F.inline(F.arrays_zip(F.col("keys.sku").alias("sku"), F.col("vals").alias("v")))
+    values = snaps.join(wanted.select("run_id").distinct(), "run_id", "left_semi").select("run_id", "fields", entry)
+    picked = wanted.join(values, ["run_id", "sku"])
+    pair = picked.groupBy("new_id", "sku").agg(
+        *(F.max(F.when(cond, F.struct("fields", "v"))).alias(name) for name, cond in (("new", F.col("is_new")), ("old", ~F.col("is_new"))))
     )
     value = lambda side, f: F.element_at(F.col(f"{side}.v"), F.array_position(F.col(f"{side}.fields"), f).cast("int"))
     shared = F.array_intersect("new.fields", "old.fields")
@@ -146,20 +135,23 @@ def _verify(index: DataFrame, suspects: DataFrame) -> DataFrame:
     return pair.filter(differs).select("new_id", "sku")
 
 
-def changes(index: DataFrame) -> DataFrame:
-    """(run_id, sku, change_kind) between all consecutive snapshots of the index.
+def changes(snaps: DataFrame) -> DataFrame:
+    """(run_id, sku, change_kind) between all consecutive snapshots of :func:`read_snapshots`.
 
     ``added``/``removed``: the key is in one of the two only; ``changed``: some text
-    or number field both snapshots have differs in value. An empty index gives no
+    or number field both snapshots have differs in value. No snapshots give no
     rows; a url's first snapshot gives none.
     """
-    pairs = steps(index)
-    probed = staged(
-        _probe(index, pairs).filter(~F.col("new_h").eqNullSafe(F.col("old_h"))), "snapshot_probe"
-    )
+    pairs = staged(steps(snaps), "snapshot_steps")
+    hashes = snaps.select("run_id", F.inline("keys"))
+    old = hashes.join(pairs.withColumnRenamed("prev_id", "run_id"), "run_id")
+    index = staged_buckets(old.select(F.col("run_id").alias("prev_id"), "sku", "h", "new_id"), "snapshot_index", ["prev_id", "sku"])
+    new = hashes.join(pairs.withColumnRenamed("new_id", "run_id"), "run_id").select("prev_id", "sku", "h", F.col("run_id").alias("own_id"))
+    hit = probe(new, index, ["prev_id", "sku"]).withColumn("new_id", F.coalesce("own_id", "new_id"))
+    probed = staged(hit.select("new_id", "prev_id", "sku", "new_h", "old_h").distinct(), "snapshot_probe")
     kind = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed")
     sure = probed.select(F.col("new_id").alias("run_id"), "sku", kind.alias("change_kind")).filter(F.col("change_kind").isNotNull())
-    changed = _verify(index, probed.filter(F.col("new_h").isNotNull() & F.col("old_h").isNotNull()))
+    changed = _verify(snaps, probed.filter(F.col("new_h").isNotNull() & F.col("old_h").isNotNull()))
     return sure.unionByName(changed.select(F.col("new_id").alias("run_id"), "sku", F.lit("changed").alias("change_kind")))
 
 
@@ -171,4 +163,4 @@ def snapshot_changes(runs: DataFrame) -> DataFrame:
     one sku the first stands; records without one are left out. Texts are compared whole,
     however long. An empty table gives no rows; other columns of ``runs`` are not read.
     """
-    return changes(build_index(runs))
+    return changes(read_snapshots(runs))

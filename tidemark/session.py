@@ -20,6 +20,7 @@ DEFAULTS = {
 }
 
 _staged: list[str] = []
+_tables: list[str] = []
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,6 +61,13 @@ def _register(spark: SparkSession, path: str) -> None:
     _staged.append(path)
 
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with everything staged."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _register(spark, path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
@@ -67,33 +75,40 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     applies to what is read later.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _register(spark, path)
+    path = staging_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_buckets(df: DataFrame, label: str, key: str, buckets: int | None = None) -> DataFrame:
+def staged_buckets(df: DataFrame, label: str, key: str | list[str], buckets: int | None = None) -> DataFrame:
     """Like :func:`staged`, hash-bucketed by ``key``: joins on it read without a shuffle."""
     spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else key
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     _register(spark, path)
+    _tables.append(name)
     (
-        df.repartition(n, key)
+        df.repartition(n, *keys)
         .write.format("parquet")
         .option("compression", "zstd")
         .option("path", path)
-        .bucketBy(n, key)
+        .bucketBy(n, *keys)
         .saveAsTable(name)
     )
     return spark.table(name)
 
 
 def release_staged(spark: SparkSession) -> None:
-    """Delete every table staged so far; called at exit as well."""
+    """Drop and delete every table staged so far; called at exit as well.
+
+    A long session calls it when the results it needs are written: data frames made before
+    read files that are gone then.
+    """
     try:
+        for name in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _staged:
@@ -101,5 +116,6 @@ def release_staged(spark: SparkSession) -> None:
             p.getFileSystem(conf).delete(p, True)
     except Exception:  # the session may be gone already
         pass
+    _tables.clear()
     _staged.clear()
     _made.clear()
