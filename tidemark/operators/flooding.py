@@ -51,14 +51,3 @@ def flood(left: list[Edge], right: list[Edge], seed: dict[Pair, float], eps: flo
         if moved < eps:
             break
     return score
-
-
-def select(score: dict[Pair, float], consistent: set[Pair]) -> list[Pair]:
-    """One-to-one pairs among ``consistent``, best score first; ties by name."""
-    out, used_l, used_r = [], set(), set()
-    for a, b in sorted(consistent, key=lambda p: (-score.get(p, 0.0), p)):
-        if a not in used_l and b not in used_r:
-            used_l.add(a)
-            used_r.add(b)
-            out.append((a, b))
-    return out

@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import column_map
 from ..functions.jsontext import canonical, canonical_any, decode, key_text, records_of
-from ..session import staged, staged_buckets
+from ..session import staged
 from . import snapshots
-from .flooding import flood, name_similarity, select
+from .flooding import flood, name_similarity
 from .history import consecutive, instant_us, standing
 
 REPORT = "run_id bigint, json_col string, field string, old_field string, change_kind string"
 _REPORT = pa.schema(
     [("run_id", pa.int64()), *((c, pa.string()) for c in ("json_col", "field", "old_field", "change_kind"))]
 )
-#: Most distinct field names for which the global naming is built on the driver.
+#: Most distinct field names that become columns; values of rarer ones stay in a map.
 MAX_NAMES = 20_000
 #: A text that is a number and nothing else; a cast alone would read ``30d`` and ``5f`` as numbers too.
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
@@ -37,16 +37,19 @@ _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 Field = tuple[str, str, str]  # name, section, type
 
 
+#: Flooded score, of the best pair's, that a pair needs to be proposed as a rename.
+PROPOSED = 0.2
+
+
 @lru_cache(maxsize=4096)
 def correspondences(lost: tuple[Field, ...], came: tuple[Field, ...], kept: tuple[Field, ...], evidence: tuple) -> tuple:
-    """Renames among lost and came fields.
+    """Pairs of a lost and a came field of one section that may be a rename, best first.
 
-    ``evidence`` holds (old index, new index, share of equal content) for the pairs
-    whose content is the same; only those are consistent. Flooding decides between
-    several: names alike, types alike and the sections' other fields raise a pair.
+    ``evidence`` holds (old index, new index, share of equal content) of the pairs with
+    some content in common. Every pair takes part, seeded by its names alone: content is a
+    node that both fields hold, weighted by its share, and reaches the pair by flooding,
+    as do types, sections and their other fields.
     """
-    if not evidence:
-        return ()
     edges = ([], [])
     seed = {("root", "root"): 1.0}
     for side, fields in enumerate((lost + kept, came + kept)):
@@ -61,29 +64,49 @@ def correspondences(lost: tuple[Field, ...], came: tuple[Field, ...], kept: tupl
         seed[f"section {section}", f"section {section}"] = 1.0
         for _, _, other in came + kept:
             seed[f"type {kind}", f"type {other}"] = 1.0 if kind == other else 0.3
-    possible = set()
+    possible = {}
+    for i, (a, section, _) in enumerate(lost):
+        for j, (b, other, _) in enumerate(came):
+            if section == other:
+                pair = f"field {a}", f"field {b}"
+                possible[pair] = (i, j)
+                seed[pair] = 0.25 * name_similarity(a, b)
     for i, j, share in evidence:
-        old, new = f"field {lost[i][0]}", f"field {came[j][0]}"
-        edges[0].append((old, "holds", f"content {i}-{j}"))
-        edges[1].append((new, "holds", f"content {i}-{j}"))
-        seed[f"content {i}-{j}", f"content {i}-{j}"] = share
-        seed[old, new] = 0.5 * share + 0.5 * name_similarity(lost[i][0], came[j][0])
-        possible.add((old, new))
-    chosen = select(flood(*edges, seed), possible)
-    return tuple((a.removeprefix("field "), b.removeprefix("field ")) for a, b in chosen)
+        for k, (n, side) in enumerate(((lost[i][0], edges[0]), (came[j][0], edges[1]))):
+            side.append((f"field {n}", f"holds {i}-{j}", f"content {i}-{j}"))
+        seed[f"content {i}-{j}", f"content {i}-{j}"] = CONTENT * share
+    score = flood(*edges, seed)
+    top = max((score[p] for p in possible), default=0.0)
+    ranked = sorted(possible, key=lambda p: (-score[p], p))
+    return tuple((*possible[p], round(score[p], 4)) for p in ranked if score[p] >= PROPOSED * top)
+
+
+#: Weight of wholly equal content against that of an equal name.
+CONTENT = 4.0
 
 
 def _differences(run: int, col: str, old: dict[str, tuple[str, str]], new: dict[str, tuple[str, str]], same, out) -> None:
-    """Append the report rows of one step; ``old``/``new``: name to (section, type)."""
+    """Append the report rows of one step; ``old``/``new``: name to (section, type).
+
+    Flooding proposes the renames, best first; a proposal stands if both fields are
+    free still and more than half of their content is equal.
+    """
     lost = tuple((n, *old[n]) for n in old if n not in new)
     came = tuple((n, *new[n]) for n in new if n not in old)
     kept = tuple((n, *new[n]) for n in new if n in old)
-    evidence = []
+    shares = {}
     for i, (a, section, _) in enumerate(lost):
         for j, (b, other, _) in enumerate(came):
-            if section == other and (share := same(a, b)) > 0.5:
-                evidence.append((i, j, round(share, 2)))
-    renamed = correspondences(lost, came, kept, tuple(evidence))
+            if section == other and (share := same(a, b)) > 0:
+                shares[i, j] = share
+    renamed, gone, made = [], set(), set()
+    proposals = correspondences(lost, came, kept, tuple((i, j, round(s, 2)) for (i, j), s in shares.items())) if shares else ()
+    for i, j, _ in proposals:
+        a, b = lost[i][0], came[j][0]
+        if a not in gone and b not in made and shares.get((i, j), 0.0) > 0.5:
+            renamed.append((a, b))
+            gone.add(a)
+            made.add(b)
 
     def put(field, old_field, kind):
         for column, value in zip(out, (run, col, field, old_field, kind)):
@@ -93,7 +116,6 @@ def _differences(run: int, col: str, old: dict[str, tuple[str, str]], new: dict[
         put(b, a, "renamed")
         if old[a][1] != new[b][1]:
             put(b, a, "retyped")
-    gone, made = {a for a, _ in renamed}, {b for _, b in renamed}
     for n, *_ in came:
         if n not in made:
             put(n, n, "added")
@@ -211,7 +233,7 @@ def config_rows(runs: DataFrame) -> DataFrame:
 
 
 def build_config_index(runs: DataFrame) -> DataFrame:
-    return staged_buckets(config_rows(runs), "config_index", "run_id")
+    return staged(config_rows(runs), "config_index")
 
 
 def _config_steps(runs: list, news: list, olds: list) -> list[list]:
@@ -250,35 +272,45 @@ def drift_report(runs: DataFrame) -> DataFrame:
     id stands. Of several possible renames the flooded score decides, ties go by name.
     An empty table gives no rows; other columns of ``runs`` are not read.
     """
-    return record_changes(snapshots.build_index(runs)).unionByName(config_changes(build_config_index(runs)))
+    return record_changes(snapshots.read_snapshots(runs)).unionByName(config_changes(build_config_index(runs)))
 
 
 # One consistent table -------------------------------------------------------
 
 
 def naming(report: DataFrame, names: DataFrame) -> dict[str, str]:
-    """One canonical name per field name of one column.
+    """One canonical name per field name of one column, for the ``MAX_NAMES`` most used names.
 
     ``report``: that column's report rows; ``names``: (run_id, name). Renames join two
     names unless some snapshot has both, most frequent first; a class takes the name
-    most snapshots use. Collects names and renames only, which grow with the schema
-    and not with the data (checked against ``MAX_NAMES``).
+    most snapshots use. The driver sees names and renames; which names occur together is
+    asked in Spark, and only of names that renames link.
     """
-    used = {r["name"]: r["n"] for r in names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).limit(MAX_NAMES + 1).collect()}
-    if len(used) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} field names: keys look like data")
-    renames = (
-        report.filter(F.col("change_kind") == "renamed").groupBy("field", "old_field").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    touched = {x for r in renames for x in (r["field"], r["old_field"])}
-    some = names.filter(F.col("name").isin(sorted(touched))) if touched else names.limit(0)
-    sets = some.groupBy("run_id").agg(F.sort_array(F.collect_set("name")).alias("s")).select("s").distinct()
-    pairs = sets.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).filter("a < b").distinct()
-    together = {(r["a"], r["b"]) for r in pairs.collect()}
+    counted = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(MAX_NAMES)
+    used = {r["name"]: r["n"] for r in counted.collect()}
+    renames = [
+        r for r in report.filter(F.col("change_kind") == "renamed").groupBy("field", "old_field").agg(F.count(F.lit(1)).alias("n")).collect()
+        if r["field"] in used and r["old_field"] in used
+    ]
+    group = {x: x for r in renames for x in (r["field"], r["old_field"])}
+
+    def root(x):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for r in renames:
+        group[root(r["field"])] = root(r["old_field"])
+    together = set()
+    if group:
+        linked = names.sparkSession.createDataFrame([(x, root(x)) for x in sorted(group)], "name string, linked string")
+        sets = names.join(linked, "name").groupBy("run_id", "linked").agg(F.sort_array(F.collect_set("name")).alias("s")).filter(F.size("s") > 1)
+        both = sets.select("s").distinct().select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).filter("a < b").distinct()
+        together = {(r["a"], r["b"]) for r in both.collect()}
     classes = {n: {n} for n in used}
     for r in sorted(renames, key=lambda r: (-r["n"], r["field"], r["old_field"])):
-        x, y = classes.get(r["field"]), classes.get(r["old_field"])
-        if x is None or y is None or x is y or any((min(a, b), max(a, b)) in together for a in x for b in y):
+        x, y = classes[r["field"]], classes[r["old_field"]]
+        if x is y or any((min(a, b), max(a, b)) in together for a in x for b in y):
             continue
         x |= y
         for n in y:
@@ -301,49 +333,73 @@ def _cast_columns(names: dict[str, str], kinds: dict[str, str], col: str) -> lis
 
 
 _VALUES = pa.schema(
-    [("run_id", pa.int64()), ("pos", pa.int32()), ("sku", pa.string()), ("vals", pa.map_(pa.string(), pa.string()))]
+    [("run_id", pa.int64()), ("pos", pa.int32()), ("vals", pa.map_(pa.string(), pa.string())), ("nested", pa.map_(pa.string(), pa.string()))]
 )
 
 
 def record_values(runs: DataFrame) -> DataFrame:
-    """(run_id, pos, sku, vals): every record with its text and number fields as text."""
+    """(run_id, pos, vals, nested): every record with its text and number fields as text, and
+    its other values (booleans, lists and objects) as JSON text."""
 
     def walk(ids, texts):
         out: list[list] = [[], [], [], []]
         for run, text in zip(ids, texts):
             for pos, record in enumerate(records_of(text) or ()):
                 if type(record) is dict:
-                    own = {k: v if type(v) is str else canonical(v)[1:] for k, v in record.items() if canonical(v) is not None}
-                    for c, v in zip(out, (run, pos, key_text(record.get("sku")), list(own.items()))):
+                    own, rest = {}, {}
+                    for k, v in record.items():
+                        if type(v) is str:
+                            own[k] = v
+                        elif (scalar := canonical(v)) is not None:
+                            own[k] = scalar[1:]
+                        elif v is not None:
+                            rest[k] = json.dumps(v, ensure_ascii=False)
+                    for c, v in zip(out, (run, pos, list(own.items()), list(rest.items()))):
                         c.append(v)
         return out
 
     slim = runs.select(F.col("id").cast("bigint").alias("run_id"), "records_json")
-    return slim.mapInArrow(column_map(walk, _VALUES), "run_id bigint, pos int, sku string, vals map<string,string>")
+    return slim.mapInArrow(column_map(walk, _VALUES), "run_id bigint, pos int, vals map<string,string>, nested map<string,string>")
 
 
 def _majority(kinds: DataFrame, names: dict[str, str]) -> dict[str, str]:
     votes: dict[str, dict[str, int]] = {}
     for r in kinds.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n")).collect():
+        if r["name"] not in names:
+            continue
         kind = votes.setdefault(names[r["name"]], {})
         kind[r["kind"]] = kind.get(r["kind"], 0) + r["n"]
     return {n: max(v, key=lambda k: (v[k], k)) for n, v in votes.items()}
 
 
+def _split(vals: DataFrame, names: dict[str, str], types: dict[str, str], odd, whole: bool) -> tuple[DataFrame, list]:
+    """Columns of a ``vals`` map: one per canonical name, what isn't of its type in ``not_cast``,
+    and what has no column in ``others``."""
+    numeric = sorted(n for n, t in names.items() if types.get(t) == "number")
+    empty = F.lit(None).cast("map<string,string>")
+    left = F.map_filter("vals", lambda k, v: k.isin(numeric) & odd(v)) if numeric else empty
+    kept = F.map_filter("vals", lambda k, v: ~(k.isin(numeric) & odd(v))) if numeric else F.col("vals")
+    others = empty if whole else F.map_filter("vals", lambda k, v: ~k.isin(sorted(names)))
+    return vals.withColumns({"_left": left, "_others": others, "vals": kept}), _cast_columns(names, types, "vals")
+
+
 def unify_records(runs: DataFrame) -> DataFrame:
     """All records of all versions in one table: ``run_id``, ``pos`` and one column per field.
 
     Renamed fields share a column; a column is double where most snapshots hold it
-    as a number. What doesn't cast stays as text in ``not_cast``.
+    as a number. What doesn't cast stays as text in ``not_cast``, booleans, lists and objects
+    as JSON text in ``nested``, and fields beyond the ``MAX_NAMES`` most used in ``others``.
     """
-    index = snapshots.build_index(runs)
+    index = snapshots.read_snapshots(runs)
     kinds = index.select("run_id", F.inline(F.arrays_zip(F.col("fields").alias("name"), F.col("kinds").alias("kind"))))
     names = naming(record_changes(index), kinds.select("run_id", "name"))
     types = _majority(kinds, names)
-    numeric = sorted(n for n, t in names.items() if types.get(t) == "number")
-    left = F.map_filter("vals", lambda k, v: k.isin(numeric) & v.try_cast("double").isNull()) if numeric else F.lit(None)
-    columns = _cast_columns(names, types, "vals")
-    return record_values(runs).select("run_id", "pos", *columns, left.cast("map<string,string>").alias("not_cast"))
+    rows, columns = _split(record_values(runs), names, types, lambda v: v.try_cast("double").isNull(), _all_named(kinds, names))
+    return rows.select("run_id", "pos", *columns, F.col("_left").alias("not_cast"), "nested", F.col("_others").alias("others"))
+
+
+def _all_named(kinds: DataFrame, names: dict[str, str]) -> bool:
+    return len(names) < MAX_NAMES or kinds.select("name").distinct().count() == len(names)
 
 
 def unify_config(runs: DataFrame) -> DataFrame:
@@ -351,18 +407,16 @@ def unify_config(runs: DataFrame) -> DataFrame:
 
     A ``fields.*`` column holds selector and attr as JSON, any other its value; it is
     double where most snapshots hold it as a number. What is no plain number there
-    stays as text, under its own name, in ``not_cast``.
+    stays as text, under its own name, in ``not_cast``, options beyond the ``MAX_NAMES`` most
+    used in ``others``. Of options that repeat in a config the last stands.
     """
     index = build_config_index(runs)
     rows = index.filter(F.col("options").isNotNull())
     flat = rows.select("run_id", F.inline("options"))
     names = naming(config_changes(index), flat.select("run_id", "name"))
-    types = _majority(flat.select("name", F.when(F.col("section") == "fields", "string").otherwise(F.col("kind")).alias("kind")), names)
-    text = F.when(F.col("o.section") == "fields", F.col("o.content")).otherwise(F.expr("substring(o.content, 2)"))
-    vals = rows.select("run_id", F.explode("options").alias("o")).select("run_id", F.col("o.name").alias("k"), text.alias("v"))
-    mapped = vals.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("vals"))
-    numeric = sorted(n for n, t in names.items() if types.get(t) == "number")
-    odd = lambda k, v: k.isin(numeric) & ~v.rlike(_NUMBER)
-    left = F.map_filter("vals", odd) if numeric else F.lit(None)
-    plain = mapped.withColumns({"left": left.cast("map<string,string>"), "vals": F.map_filter("vals", lambda k, v: ~odd(k, v)) if numeric else F.col("vals")})
-    return plain.select("run_id", *_cast_columns(names, types, "vals"), F.col("left").alias("not_cast"))
+    kinds = flat.select("name", F.when(F.col("section") == "fields", "string").otherwise(F.col("kind")).alias("kind"))
+    types = _majority(kinds, names)
+    text = lambda o: F.when(o["section"] == "fields", o["content"]).otherwise(F.substring(o["content"], 2, 1 << 30))
+    vals = rows.select("run_id", F.map_from_entries(F.transform("options", lambda o: F.struct(o["name"].alias("k"), text(o).alias("v")))).alias("vals"))
+    table, columns = _split(vals, names, types, lambda v: ~v.rlike(_NUMBER), _all_named(kinds, names))
+    return table.select("run_id", *columns, F.col("_left").alias("not_cast"), F.col("_others").alias("others"))
