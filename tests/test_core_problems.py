@@ -247,6 +247,81 @@ def test_flooding_prefers_connected_and_alike():
     assert flood([], [], {}) == {}
 
 
+def test_flooding_overrides_the_best_seed():
+    """Names say x and y the other way round; types and the content they hold carry the pairs."""
+    lost = (("item_cost", "", "number"), ("item_title", "", "string"))
+    came = (("item_titles", "", "number"), ("item_costs", "", "string"))
+    by_name = max(((name_similarity(a[0], b[0]), (i, j)) for i, a in enumerate(lost) for j, b in enumerate(came)))[1]
+    assert by_name in ((0, 1), (1, 0))
+    got = schema_drift.correspondences(lost, came, (), ((0, 0, 0.9), (0, 1, 0.55), (1, 1, 0.9), (1, 0, 0.55)))
+    assert {p[:2] for p in got[:2]} == {(0, 0), (1, 1)}
+    assert schema_drift.correspondences(lost, came, (), ((0, 0, 0.9),))[0][:2] == (0, 0)
+
+
+def test_ambiguous_renames_are_settled_by_flooding(spark):
+    """Both lost fields hold what both new ones hold: types of the fields decide."""
+    old = [{"sku": str(i), "alpha": 5, "beta": "5"} for i in range(4)]
+    new = [{"sku": str(i), "betas": 5, "alphas": "5"} for i in range(4)]
+    df = runs(spark, [{"id": 0, "records_json": json.dumps(old)}, {"id": 1, "records_json": json.dumps(new)}])
+    got = {(r["old_field"], r["field"]) for r in schema_drift.drift_report(df).filter("change_kind = 'renamed'").collect()}
+    assert len(got) == 2 and {a for a, _ in got} == {"alpha", "beta"}
+
+
+def test_fields_beyond_the_columns_are_kept(spark, monkeypatch):
+    records = [[{"sku": "1", "a": 1, "b": "x", "c": True, "d": [1], "e": {"f": 2}, "g": None}], [{"sku": "1", "a": 2}], [{"sku": "2", "a": "n/a", "h": 5}]]
+    df = runs(spark, [{"id": i, "url": f"u{i}", "records_json": json.dumps(x), "config_json": config(x=i, **({"y": 1} if i else {}))} for i, x in enumerate(records)])
+    full = {r["run_id"]: r for r in schema_drift.unify_records(df).collect()}
+    assert full[0]["nested"] == {"c": "true", "d": "[1]", "e": '{"f": 2}'} and full[0]["others"] is None and full[2]["not_cast"] == {"a": "n/a"}
+    monkeypatch.setattr(schema_drift, "MAX_NAMES", 2)
+    few = {r["run_id"]: r for r in schema_drift.unify_records(df).collect()}
+    assert [c for c in few[0].asDict() if c not in ("run_id", "pos", "not_cast", "nested", "others")] == ["a", "sku"]
+    assert few[0]["others"] == {"b": "x"} and few[2]["others"] == {"h": "5"} and few[1]["a"] == 2.0
+    options = {r["run_id"]: r for r in schema_drift.unify_config(df).collect()}
+    assert all(set(options[i].asDict()) == {"run_id", "target", "x", "not_cast", "others"} for i in options) and options[1]["others"] == {"y": "1"}
+
+
+def test_many_names_need_no_pairs(spark):
+    """Names of one snapshot are compared with each other only where a rename links them."""
+    wide = [{"sku": "1", **{f"f{i}": i for i in range(300)}, "old": "v"}]
+    df = runs(spark, [{"id": 0, "records_json": json.dumps(wide)}, {"id": 1, "records_json": json.dumps([{**{k: v for k, v in wide[0].items() if k != "old"}, "fresh": "v"}])}])
+    got = schema_drift.unify_records(df)
+    assert len(got.columns) == 5 + 302 and got.filter("coalesce(fresh, old) = 'v'" if {"fresh", "old"} <= set(got.columns) else f"{'fresh' if 'fresh' in got.columns else 'old'} = 'v'").count() == 2
+
+
+def test_a_step_of_many_changed_keys(spark):
+    n = 100_000
+    make = lambda v: json.dumps([{"sku": f"k{i}", "p": v} for i in range(n)])
+    df = runs(spark, [{"id": 0, "records_json": make(1)}, {"id": 1, "records_json": make(2)}])
+    got = snapshots.snapshot_changes(df).groupBy("change_kind").count().collect()
+    assert [(r["change_kind"], r["count"]) for r in got] == [("changed", n)]
+
+
+def test_the_index_is_bucketed_by_key(spark, real):
+    snaps = snapshots.read_snapshots(real[0])
+    before = set(spark.catalog.listTables() and [t.name for t in spark.catalog.listTables()])
+    snapshots.changes(snaps)
+    made = [t.name for t in spark.catalog.listTables() if t.name not in before and t.name.startswith("snapshot_index")]
+    assert len(made) == 1
+    shown = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {made[0]}").collect()}
+    assert "prev_id" in shown["Bucket Columns"] and "sku" in shown["Bucket Columns"]
+    from tidemark.session import release_staged
+
+    release_staged(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name == made[0]]
+
+
+def test_tables_keep_unknown_fields_and_a_bounded_set_of_tags(spark, tmp_path):
+    text = json.dumps([{"sku": "a", "odd": 1, "list": [1, 2], "gone": None, "ships": {"to": "x"}, "paths": {"/a/b": {"get": {}}}}])
+    df = runs(spark, [{"id": 7, "records_json": text}])
+    where = f"file://{tmp_path}/t"
+    nested.write_tables(nested.emit_tagged(df), where, rebalance=True)
+    assert {r["tag"] for r in spark.read.parquet(where).select("tag").distinct().collect()} == {"record", "other"}
+    (row,) = nested.read_table(spark, where, "record").collect()
+    assert row["sku"] == "a" and row["rest"] == {"odd": "1", "list": "[1,2]"} and row["name"] is None
+    (row,) = nested.nested_table(df, "record", ("records_json",)).collect()
+    assert row["path"] == "[0]" and row["run_id"] == 7
+
+
 def test_deliveries_swap_the_index(spark, tmp_path):
     index = SnapshotIndex(spark, f"file://{tmp_path}/ix", "k", 4)
     day = lambda data: spark.createDataFrame(data, "k string, v int, w string")

@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 
 from ..functions.arrow import column_map
 from ..functions.jsontext import MISSING, decode
+from ..session import staging_path
 
 #: Keys whose value is a list even where a bare object stands for a list of one.
 LIST_KEYS = frozenset({"variants", "offers", "seasons", "episodes", "actions", "skipped"})
-#: Table of an object by the last key of its path; others go to a table named after the key.
+#: Table of an object by the last key of its path.
 TAGS = {
     "": "record",
     "variants": "variant",
@@ -32,6 +33,8 @@ TAGS = {
     "transitions": "transition",
     "skipped": "skip",
 }
+#: Table of all objects that have no table of their own; so data decides no names of tables.
+OTHER = "other"
 COLUMNS = ("records_json", "api_surface_json", "exploration_json")
 #: Columns of which the outermost object is the container and no row of its own.
 CONTAINERS = frozenset({"api_surface_json", "exploration_json"})
@@ -91,7 +94,7 @@ def _own(node: dict) -> dict:
 
 
 def _tag(col: str, key: str) -> str:
-    return TAGS.get(key, key) if key or col == "records_json" else col
+    return TAGS.get(key, OTHER) if key or col == "records_json" else OTHER
 
 
 def emit_tagged(
@@ -135,16 +138,33 @@ def emit_tagged(
     return picked.mapInArrow(column_map(walk, schema), spark_schema)
 
 
-def write_tables(emitted: DataFrame, path: str) -> None:
-    """Write the emission laid out by tag (one folder per table)."""
-    emitted.write.mode("overwrite").option("compression", "zstd").partitionBy("tag").parquet(path)
+def write_tables(emitted: DataFrame, path: str, rebalance: bool = False) -> None:
+    """Write the emission laid out by tag, one folder for each of the tables of ``TAGS`` and ``OTHER``.
+
+    A task writes all its tables side by side, without sorting. ``rebalance`` first moves rows
+    into files of even size per table, split or merged by size, where a scan has many small tasks.
+    """
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    spark = emitted.sparkSession
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(len(TAGS) + 2))
+    try:
+        rows = emitted.hint("rebalance", "tag") if rebalance else emitted
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("tag").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def typed(emitted: DataFrame, tag: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """The rows of one table with its payload as typed columns, prefixed by their keys."""
+    """The rows of one table with its payload as typed columns, prefixed by their keys.
+
+    Fields the schema doesn't name stay in ``rest``, by name, as text.
+    """
     kind = T.StructType.fromDDL(schema or SCHEMAS[tag]) if not isinstance(schema, T.StructType) else schema
-    rows = emitted.filter(F.col("tag") == tag).withColumn("p", F.from_json("payload", kind))
-    return rows.select("run_id", "json_col", "path", "parent_path", *(F.col("p")[f.name].alias(f.name) for f in kind))
+    known = [f.name for f in kind]
+    rows = emitted.filter(F.col("tag") == tag).withColumns({"p": F.from_json("payload", kind), "m": F.from_json("payload", "map<string,string>")})
+    rest = F.map_filter("m", lambda k, v: ~k.isin(known) & v.isNotNull()).alias("rest")
+    return rows.select("run_id", "json_col", "path", "parent_path", *(F.col("p")[n].alias(n) for n in known), rest)
 
 
 def read_table(spark: SparkSession, path: str, tag: str, schema: str | None = None) -> DataFrame:
@@ -152,11 +172,24 @@ def read_table(spark: SparkSession, path: str, tag: str, schema: str | None = No
     return typed(spark.read.schema(EMITTED).parquet(path), tag, schema)
 
 
+def staged_tables(runs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The emission of ``runs``, written by tag into the shared folder and read back."""
+    spark = runs.sparkSession
+    path = staging_path(spark, "nested")
+    write_tables(emit_tagged(runs, columns), path)
+    return spark.read.schema(EMITTED).parquet(path)
+
+
+def nested_table(runs: DataFrame, tag: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """One of the tables of ``runs`` with its links to run and parent, and its fields typed."""
+    return typed(staged_tables(runs, columns), tag)
+
+
 def nested_objects(runs: DataFrame) -> DataFrame:
-    """Keys and parent keys of every nested object of ``runs``.
+    """Keys and parent keys of every nested object of ``runs``, over all its tables.
 
     Every row counts, repeated runs too. Null, empty, unparsable and scalar texts give no
     rows, as does an empty table; keys keep their text, with lone surrogates escaped.
     Other columns of ``runs`` are not read, whatever their names.
     """
-    return emit_tagged(runs, payload=False).drop("tag")
+    return staged_tables(runs).select("run_id", "json_col", "path", "parent_path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import nested, schema_drift, snapshots
 from ..sources.tables import spread_table
@@ -13,6 +14,30 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.nested_objects(spread_table(spark, folder, "runs", "id", *nested.COLUMNS))
 
 
+def _nested(tag: str, column: str, *fields: str):
+    """A query for one of the nested tables of one column."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows = nested.nested_table(spread_table(spark, folder, "runs", "id", column), tag, (column,))
+        return rows.select("run_id", "path", "parent_path", *fields)
+
+    return query
+
+
+#: Nested tables: query, tag, column and the fields put out.
+NESTED = {
+    "p1_records": ("record", "records_json", "sku", "name", "title"),
+    "p1_variants": ("variant", "records_json", "code", "size"),
+    "p1_offers": ("offer", "records_json", "seller", "price"),
+    "p1_seasons": ("season", "records_json", "no"),
+    "p1_episodes": ("episode", "records_json", "no", "minutes", "note"),
+    "p1_states": ("state", "exploration_json", "id"),
+    "p1_actions": ("action", "exploration_json", "role", "name", "fill_value"),
+    "p1_transitions": ("transition", "exploration_json", "from", "to"),
+    "p1_skips": ("skip", "exploration_json", "from", "reason"),
+}
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records added, removed or changed between consecutive snapshots of a url."""
     return snapshots.snapshot_changes(spread_table(spark, folder, "runs", "id", "url", "captured_at", "records_json"))
@@ -29,6 +54,23 @@ def p5_records_table(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.unify_records(spread_table(spark, folder, "runs", "id", "url", "captured_at", "records_json"))
 
 
+def p5_records_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per run how many records, and texts and numbers in them, the one table holds."""
+    return _audit(p5_records_table(spark, folder), ("pos", "nested"), F.count(F.lit(1)).alias("records"))
+
+
+def p5_config_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per run how many options the one table holds."""
+    return _audit(p5_config_table(spark, folder), ())
+
+
+def _audit(rows: DataFrame, beside: tuple[str, ...], *more) -> DataFrame:
+    own = [c for c in rows.columns if c not in ("run_id", "not_cast", "others", *beside)]
+    filled = sum((F.col(f"`{c}`").isNotNull().cast("bigint") for c in own), F.lit(0))
+    held = filled + F.coalesce(F.size("not_cast"), F.lit(0)) + F.coalesce(F.size("others"), F.lit(0))
+    return rows.groupBy("run_id").agg(*more, F.sum(held).alias("values"))
+
+
 def p5_config_table(spark: SparkSession, folder: str) -> DataFrame:
     """All job configs of all schema versions in one table."""
     return schema_drift.unify_config(spread_table(spark, folder, "runs", "id", "url", "captured_at", "config_json"))
@@ -40,7 +82,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_records_table": p5_records_table,
     "p5_config_table": p5_config_table,
-}
+    "p5_records_audit": p5_records_audit,
+    "p5_config_audit": p5_config_audit,
+} | {name: _nested(*parts) for name, parts in NESTED.items()}
 
 #: A JSON text as a value; text inside text is parsed once more, what doesn't parse is null.
 _DECODE = (
@@ -122,4 +166,51 @@ u AS (SELECT id, col, b AS field, a AS old_field, 'renamed' AS change_kind FROM
 SELECT id AS run_id, col AS json_col, field, old_field, change_kind FROM u
 """
 
-SQL: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p5_found": _P5}
+_OWN_RECORDS = rf"""
+WITH d AS (SELECT id, {_DECODE} AS j FROM (SELECT id, records_json AS t FROM runs)),
+l AS (SELECT id, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN json_array(j) END AS a FROM d),
+e AS (SELECT l.id AS id, x.value AS r FROM l, json_each(l.a) AS x WHERE x.type = 'OBJECT')
+SELECT e.id AS run_id, count(*) AS records,
+  CAST(sum(len(list_filter(json_keys(r), lambda k: json_type(json_extract(r, '$."' || k || '"')) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE')))) AS BIGINT) AS values
+FROM e GROUP BY e.id
+"""
+_OWN_OPTIONS = rf"""
+WITH d AS (SELECT id, {_DECODE} AS j FROM (SELECT id, config_json AS t FROM runs)),
+o AS (SELECT id, j FROM d WHERE json_type(j) = 'OBJECT'),
+n AS (SELECT o.id AS id, CASE WHEN x.type = 'OBJECT' THEN len(list_filter(json_keys(x.value), lambda k: json_type(json_extract(x.value, '$."' || k || '"')) <> 'NULL'))
+  WHEN x.type = 'NULL' THEN 0 ELSE 1 END AS n FROM o, json_each(o.j) AS x)
+SELECT o.id AS run_id, CAST(coalesce((SELECT sum(n.n) FROM n WHERE n.id = o.id), 0) AS BIGINT) AS values FROM o
+"""
+#: Objects of one table of one column: where in the path they stand, and the last key of it.
+_PLACES = {
+    "record": r"regexp_full_match(p, '(\[[0-9]+\])+')",
+    "state": r"regexp_full_match(p, '(.*\.)?states(\[[0-9]+\])*')",
+    "transition": r"regexp_full_match(p, '(.*\.)?transitions(\[[0-9]+\])*')",
+    "skip": r"regexp_full_match(p, '(.*\.)?skipped(\[[0-9]+\])*')",
+} | {t: rf"regexp_full_match(p, '(.*\.)?{t}s(\[[0-9]+\])*')" for t in ("variant", "offer", "season", "episode", "action")}
+_NUMBERS = {"price": "DOUBLE", "no": "INTEGER", "minutes": "INTEGER"}
+
+
+def _nested_sql(tag: str, column: str, *fields: str) -> str:
+    taken = ", ".join(
+        f"try_cast(json_extract_string(v, '$.{f}') AS {_NUMBERS[f]}) AS {f}" if f in _NUMBERS and not (f == "price" and tag == "record") else f"json_extract_string(v, '$.\"{f}\"') AS \"{f}\""
+        for f in fields
+    )
+    return _P1_ROWS.format(column=column) + rf"""
+SELECT id AS run_id, ltrim(p, '.') AS path,
+  CASE WHEN contains(p, '.') THEN ltrim(regexp_replace(p, '\.[^.\[\]]+(\[[0-9]+\])*$', ''), '.') ELSE '' END AS parent_path, {taken}
+FROM r WHERE {_PLACES[tag].replace("(p,", "(ltrim(p, '.'),")}
+"""
+
+
+_P1_ROWS = (
+    "WITH d AS (SELECT id, '{{column}}' AS col, {decode} AS j FROM (SELECT id, {{column}} AS t FROM runs)),\n"
+    "n AS (SELECT d.id AS id, col, json_type(j) AS top, x.fullkey AS k, x.value AS v FROM d, json_tree(d.j) AS x WHERE x.type = 'OBJECT' AND json_type(j) IN ('OBJECT', 'ARRAY')\n"
+    "  AND (col = 'records_json' OR json_type(j) = 'ARRAY' OR x.fullkey <> '$')),\n"
+    "r AS (SELECT id, v, regexp_replace(regexp_replace(CASE WHEN col = 'records_json' AND top = 'OBJECT' THEN '[0]' ELSE '' END || substr(k, 2), "
+    "'{lists}', '.\\1[0]\\2', 'g'), '{lists}', '.\\1[0]\\2', 'g') AS p FROM n)"
+).format(decode=_DECODE, lists=_LIST)
+
+SQL: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p5_found": _P5, "p5_records_audit": _OWN_RECORDS, "p5_config_audit": _OWN_OPTIONS} | {
+    name: _nested_sql(*parts) for name, parts in NESTED.items()
+}
