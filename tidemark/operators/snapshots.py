@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import column_map
 from ..functions.jsontext import canonical, key_text, records_of
-from ..session import staged, staged_buckets
+from ..session import small, staged, staged_buckets
 from .history import consecutive, instant_us, standing
 
 _ENTRY = pa.struct([("sku", pa.string()), ("h", pa.int64())])
@@ -122,9 +122,9 @@ def probe(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
 def _verify(snaps: DataFrame, suspects: DataFrame) -> DataFrame:
     """Of suspect keys those with an unequal value in a field that both snapshots have."""
     roles = F.inline(F.array(*(F.struct(F.col(c).alias("run_id"), F.lit(c == "new_id").alias("is_new")) for c in ("new_id", "prev_id"))))
-    wanted = suspects.select("new_id", "prev_id", "sku").select("new_id", "sku", roles)
+    wanted = staged(suspects.select("new_id", "sku", roles), "snapshot_suspects")
     entry = F.inline(F.arrays_zip(F.col("keys.sku").alias("sku"), F.col("vals").alias("v")))
-    values = snaps.join(wanted.select("run_id").distinct(), "run_id", "left_semi").select("run_id", "fields", entry)
+    values = snaps.join(small(wanted.select("run_id").distinct()), "run_id", "left_semi").select("run_id", "fields", entry)
     picked = wanted.join(values, ["run_id", "sku"])
     pair = picked.groupBy("new_id", "sku").agg(
         *(F.max(F.when(cond, F.struct("fields", "v"))).alias(name) for name, cond in (("new", F.col("is_new")), ("old", ~F.col("is_new"))))
@@ -135,23 +135,33 @@ def _verify(snaps: DataFrame, suspects: DataFrame) -> DataFrame:
     return pair.filter(differs).select("new_id", "sku")
 
 
+def _links(snaps: DataFrame) -> DataFrame:
+    """(run_id, prev_id, next_id, same): each snapshot's neighbours, and whether the one before has its fields."""
+    pairs = staged(steps(snaps), "snapshot_steps")
+    schema = snaps.select("run_id", F.xxhash64(F.concat_ws("\x1f", "fields")).alias("f"))
+    both = pairs.join(schema.withColumnsRenamed({"run_id": "new_id", "f": "nf"}), "new_id").join(schema.withColumnsRenamed({"run_id": "prev_id", "f": "of"}), "prev_id")
+    back = both.select(F.col("new_id").alias("run_id"), "prev_id", (F.col("nf") == F.col("of")).alias("same"))
+    ahead = pairs.select(F.col("prev_id").alias("run_id"), F.col("new_id").alias("next_id"))
+    return staged(back.join(ahead, "run_id", "full_outer").select("run_id", "prev_id", "next_id", "same"), "snapshot_links")
+
+
 def changes(snaps: DataFrame) -> DataFrame:
     """(run_id, sku, change_kind) between all consecutive snapshots of :func:`read_snapshots`.
 
     ``added``/``removed``: the key is in one of the two only; ``changed``: some text
-    or number field both snapshots have differs in value. No snapshots give no
+    or number field both snapshots have differs in value. Where both have the same fields
+    unequal hashes say so; else the values of both sides are fetched. No snapshots give no
     rows; a url's first snapshot gives none.
     """
-    pairs = staged(steps(snaps), "snapshot_steps")
-    hashes = snaps.select("run_id", F.inline("keys"))
-    old = hashes.join(pairs.withColumnRenamed("prev_id", "run_id"), "run_id")
-    index = staged_buckets(old.select(F.col("run_id").alias("prev_id"), "sku", "h", "new_id"), "snapshot_index", ["prev_id", "sku"])
-    new = hashes.join(pairs.withColumnRenamed("new_id", "run_id"), "run_id").select("prev_id", "sku", "h", F.col("run_id").alias("own_id"))
-    hit = probe(new, index, ["prev_id", "sku"]).withColumn("new_id", F.coalesce("own_id", "new_id"))
-    probed = staged(hit.select("new_id", "prev_id", "sku", "new_h", "old_h").distinct(), "snapshot_probe")
-    kind = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed")
-    sure = probed.select(F.col("new_id").alias("run_id"), "sku", kind.alias("change_kind")).filter(F.col("change_kind").isNotNull())
-    changed = _verify(snaps, probed.filter(F.col("new_h").isNotNull() & F.col("old_h").isNotNull()))
+    hashes = snaps.select("run_id", "keys").join(small(_links(snaps)), "run_id").select("run_id", "prev_id", "next_id", "same", F.inline("keys"))
+    old = hashes.filter("next_id is not null").select(F.col("run_id").alias("prev_id"), "sku", "h", F.col("next_id").alias("_next"))
+    index = staged_buckets(old, "snapshot_index", ["prev_id", "sku"])
+    new = hashes.filter("prev_id is not null").select("prev_id", "sku", "h", F.col("run_id").alias("_new"), "same")
+    hit = probe(new, index, ["prev_id", "sku"]).withColumn("new_id", F.coalesce("_new", "_next"))
+    kind = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed").when(F.col("same"), "changed")
+    probed = staged(hit.select("new_id", "prev_id", "sku", kind.alias("change_kind")).distinct(), "snapshot_probe")
+    sure = probed.filter("change_kind is not null").select(F.col("new_id").alias("run_id"), "sku", "change_kind")
+    changed = _verify(snaps, probed.filter("change_kind is null"))
     return sure.unionByName(changed.select(F.col("new_id").alias("run_id"), "sku", F.lit("changed").alias("change_kind")))
 
 

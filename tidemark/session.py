@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -80,6 +81,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are counted before they are broadcast; more are joined by key.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``BROADCAST_ROWS`` rows, else as it is."""
+    n = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def staged_buckets(df: DataFrame, label: str, key: str | list[str], buckets: int | None = None) -> DataFrame:
     """Like :func:`staged`, hash-bucketed by ``key``: joins on it read without a shuffle."""
     spark = df.sparkSession
