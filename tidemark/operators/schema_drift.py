@@ -15,12 +15,12 @@ import json
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import column_map
 from ..functions.jsontext import canonical, canonical_any, decode, key_text, records_of
-from ..session import staged
+from ..session import small, staged
 from . import snapshots
 from .flooding import flood, name_similarity
 from .history import consecutive, instant_us, standing
@@ -149,30 +149,28 @@ def _record_steps(*columns: list) -> list[list]:
     return out
 
 
+def _both_sides(index: DataFrame, pairs: DataFrame, shape: Column, columns: dict[str, Column]) -> DataFrame:
+    """Steps whose two sides differ in ``shape``, with ``columns`` of both as ``n_...`` and ``o_...``.
+
+    Shapes meet as hashes; only the sides of steps that differ are fetched.
+    """
+    shapes = index.select("run_id", shape.alias("s"))
+    new, old = (shapes.select(F.col("run_id").alias(k), F.col("s").alias(f"_{k}")) for k in ("new_id", "prev_id"))
+    steps = staged(pairs.join(new, "new_id").join(old, "prev_id").filter("_new_id <> _prev_id").select("new_id", "prev_id"), "schema_steps")
+    few = small(steps)
+    side = lambda key, mark: index.join(few, F.col("run_id") == F.col(key)).select("new_id", *(c.alias(f"{mark}_{n}") for n, c in columns.items()))
+    return side("new_id", "n").join(side("prev_id", "o"), "new_id")
+
+
 def record_changes(index: DataFrame) -> DataFrame:
-    """Report rows of the record fields, from the index of :mod:`.snapshots`.
+    """Report rows of the record fields, from the snapshots of :mod:`.snapshots`.
 
     Only steps whose field lists or types differ fetch their values.
     """
-    pairs = snapshots.steps(index)
-    schema = index.select("run_id", "fields", "kinds")
-    new = schema.join(pairs, F.col("run_id") == F.col("new_id")).select("new_id", "prev_id", "fields", "kinds")
-    old = schema.select(F.col("run_id").alias("prev_id"), F.col("fields").alias("of"), F.col("kinds").alias("ok"))
-    differ = (
-        new.join(old, "prev_id")
-        .filter((F.col("fields") != F.col("of")) | (F.col("kinds") != F.col("ok")))
-        .select("new_id", "prev_id")
-    )
-    side = lambda p: index.select(
-        F.col("run_id").alias(f"{p}_run"),
-        F.col("fields").alias(f"{p}f"),
-        F.col("kinds").alias(f"{p}k"),
-        F.col("keys.sku").alias(f"{p}keys"),
-        F.col("vals").alias(f"{p}vals"),
-    )
-    steps = staged(differ, "schema_steps")
-    rows = steps.join(side("n"), F.col("new_id") == F.col("n_run")).join(side("o"), F.col("prev_id") == F.col("o_run"))
-    picked = rows.select("new_id", "nf", "nk", "nkeys", "nvals", "of", "ok", "okeys", "ovals")
+    shape = F.xxhash64(F.concat_ws("\x1f", "fields"), F.concat_ws("\x1f", "kinds"))
+    columns = {"fields": F.col("fields"), "kinds": F.col("kinds"), "keys": F.col("keys.sku"), "vals": F.col("vals")}
+    rows = _both_sides(index, snapshots.steps(index), shape, columns)
+    picked = rows.select("new_id", *(f"{side}_{c}" for side in "no" for c in columns))
     return picked.mapInArrow(column_map(_record_steps, _REPORT, 64), REPORT)
 
 
@@ -256,11 +254,9 @@ def config_changes(index: DataFrame) -> DataFrame:
     """Report rows of the config's fields and options between consecutive config snapshots."""
     slim = index.select("run_id", "url", "ts", F.col("options").isNotNull().alias("valid"))
     pairs = consecutive(standing(slim, "url", "ts", "run_id").filter("valid"), "url", "ts", "run_id")
-    new = index.select(F.col("run_id").alias("new_id"), F.col("options").alias("new"))
-    old = index.select(F.col("run_id").alias("prev_id"), F.col("options").alias("old"))
-    shape = lambda c: F.transform(c, lambda o: F.struct(o["name"], o["kind"]))
-    rows = pairs.join(new, "new_id").join(old, "prev_id").filter(shape("new") != shape("old"))
-    return rows.select("new_id", "new", "old").mapInArrow(column_map(_config_steps, _REPORT, 64), REPORT)
+    shape = F.xxhash64(F.concat_ws("\x1f", "options.name"), F.concat_ws("\x1f", "options.kind"))
+    rows = _both_sides(index, pairs, shape, {"options": F.col("options")})
+    return rows.select("new_id", "n_options", "o_options").mapInArrow(column_map(_config_steps, _REPORT, 64), REPORT)
 
 
 def drift_report(runs: DataFrame) -> DataFrame:
