@@ -262,7 +262,7 @@ SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("pri
 def test_sinks(spark, tmp_path, ending):
     df = spark.createDataFrame([("a|b\n", 1.5), (None, None), ("password=abc", 2.0)], SCHEMA)
     path = str(tmp_path / f"out.{ending}")
-    assert sinks.write_records(df.select("price", "name"), SCHEMA, path) == ending
+    assert sinks.write_records(df.select("price", "name"), SCHEMA, path, merged=True) == ending
     if ending == "json":
         got = json.load(open(path))
         assert got[1] == {"name": None, "price": None} and got[2]["name"] == "password=[REDACTED]"
@@ -278,6 +278,44 @@ def test_sinks(spark, tmp_path, ending):
         assert spark.read.parquet(path).columns == ["name", "price"]
 
 
+def test_sinks_in_parts(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1.5), (None, None), ("password=abc", 2.0), ('q "x", y', 3.0)], SCHEMA).repartition(2)
+    at = lambda name: f"file://{tmp_path}/{name}"
+    parts = lambda name: [p.read_text() for p in sorted((tmp_path / name).glob("part-*")) if p.read_text()]
+    for name in ("o.json", "o.csv", "o.md"):
+        sinks.write_records(df, SCHEMA, at(name))
+    rows = [r for text in parts("o.json") for r in json.loads(text)]
+    assert len(rows) == 4 and {"name": None, "price": None} in rows and {"name": "password=[REDACTED]", "price": 2.0} in rows
+    back = spark.read.option("header", "true").option("escape", '"').csv(at("o.csv"))
+    assert back.columns == ["name", "price"] and back.filter("""name = 'q "x", y'""").count() == 1 and back.count() == 4
+    assert all(t.startswith("| name | price |\n| --- | --- |\n") for t in parts("o.md")) and sum(t.count("\n") - 2 for t in parts("o.md")) == 4
+
+
+def test_depths_equal_levels(spark):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", i) for i in range(110)]
+    e = spark.createDataFrame(edges, "src string, dst string, seq bigint")
+    roots = spark.createDataFrame([("n0", 0), ("n0", 1)], "node string, seq bigint")
+    both = [sorted((r["node"], r["depth"]) for r in df.collect()) for df in (graph.levels(e, roots, 5), graph.depths(e, roots, 5))]
+    assert both[0] == both[1] and graph.depths(e, roots.limit(0)).count() == 0
+
+
+def test_two_levels_equal_one(spark):
+    """Running totals and next rows over blocks equal those over whole keys, with null keys and gaps."""
+    from pyspark.sql import Window
+
+    from tidemark.operators import history
+
+    rng = random.Random(9)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), i * rng.choice([1, 1]), rng.randrange(5)) for i in range(300) if i % 50 > 4]
+    df = spark.createDataFrame(data, "k string, t bigint, v int")
+    w = Window.partitionBy("k").orderBy("t")
+    block = F.floor(F.col("t") / 7)
+    want = sorted(df.select("k", "t", F.sum("v").over(w).alias("s"), F.lead("v").over(w).alias("n")).collect(), key=str)
+    got = history.with_next(history.running(df, "k", ["t"], {"s": F.col("v")}, block), "k", "t", ["v"], block)
+    assert sorted(got.select("k", "t", "s", F.col("next.v").alias("n")).collect(), key=str) == want
+
+
 def test_sink_checks(spark, tmp_path):
     df = spark.createDataFrame([("a", "x")], "name string, price string")
     for bad in (df, df.drop("price"), df.withColumn("z", F.lit(1))):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,12 +11,15 @@ from ..functions.policy import detect_challenge
 from ..session import staged
 from .extract import discover_links
 from .graph import dense_rank
+from .history import running
 from .jobs import Job
 
 #: Pages per run, sitemaps and their URLs per target.
 PAGE_BUDGET = 1000
 MAX_SITEMAPS = 50
 MAX_SITEMAP_URLS = 50_000
+#: Numbers of a queue that one task puts in order for a domain.
+DISPATCH_BLOCK = 1 << 16
 
 
 def first_seen(frontier: DataFrame) -> DataFrame:
@@ -26,14 +29,14 @@ def first_seen(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("url").agg(best).select("url", "b.*").select(*frontier.columns)
 
 
-def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: DataFrame | None = None, allowed=None, budget: int = PAGE_BUDGET) -> dict[str, DataFrame]:
+def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: DataFrame | None = None, allowed=None, budget: int | None = PAGE_BUDGET) -> dict[str, DataFrame]:
     """Walk a table of pages from a job's target.
 
     ``pages``: url, status, html. Returns ``visited`` (url, depth, level), ``blocked``,
     ``dead`` and ``rest`` (what the budget left in the queue). A level takes the queue,
     drops what was seen, looks its pages up, and queues their links: pagination at the
     same depth, links one deeper. ``allowed``: a function of a url column for robots
-    rules. ``seeds`` (url, and depth where a queue is resumed) and ``seen`` carry earlier
+    rules; ``budget`` None for no bound. ``seeds`` (url, and depth where a queue is resumed) and ``seen`` carry earlier
     runs on; the budget is this run's own.
     """
     spark = pages.sparkSession
@@ -44,13 +47,13 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
         queue = staged(start.unionByName(seeds.select("url", depth.cast("int").alias("depth"), (F.monotonically_increasing_id() + 1).alias("seq"))), "queue")
     done = staged((seen.select("url") if seen is not None else spark.createDataFrame([], "url string")), "seen")
     visited, blocked, dead, level, left = [], [], [], 0, budget
-    while left > 0:
-        fresh = first_seen(queue).join(done, "url", "left_anti").orderBy("seq", "url").limit(left)
-        taken = staged(fresh, "frontier")
+    while left is None or left > 0:
+        fresh = first_seen(queue).join(done, "url", "left_anti")
+        taken = staged(fresh if left is None else fresh.orderBy("seq", "url").limit(left), "frontier")
         n = taken.count()
         if n == 0:
             break
-        left -= n
+        left = None if left is None else left - n
         ok = taken.filter(allowed(F.col("url"))) if allowed else taken
         if allowed:
             blocked.append(taken.filter(~allowed(F.col("url"))).select("url", "depth"))
@@ -64,7 +67,7 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
         ranked = dense_rank(order.select(F.col("link").alias("url"), "depth", F.struct("_s", "pos").alias("_k")), "_k", "seq")
         ranked = ranked.withColumn("seq", F.col("seq") + F.lit((level + 1) << 40))
         queue = staged(after.select("url", "depth", "seq").unionByName(ranked.select("url", "depth", "seq")), "queue")
-        done = staged(done.unionByName(taken.select("url")), "seen")
+        done = done.unionByName(taken.select("url"))  # levels are staged once and only added
         level += 1
     union = lambda parts, empty: _union(parts) if parts else spark.createDataFrame([], empty)
     return {
@@ -140,7 +143,10 @@ def robots_verdict(body: pd.Series, status: pd.Series, url: pd.Series, agent: pd
     return pd.DataFrame(out, columns=["allowed", "delay"]).astype({"allowed": bool, "delay": float})
 
 
-def dispatch_times(queue: DataFrame, delay: str = "delay") -> DataFrame:
-    """When each page of a domain may start: the first at once, the rest a delay apart, in order."""
-    order = Window.partitionBy("domain").orderBy("seq")
-    return queue.withColumn("start_s", (F.row_number().over(order) - 1) * F.col(delay))
+def dispatch_times(queue: DataFrame, delay: str = "delay", block: int = DISPATCH_BLOCK) -> DataFrame:
+    """When each page of a domain may start: the first at once, the rest a delay apart, in order.
+
+    ``seq`` numbers a queue; a domain's rows are placed by ``block`` of it, so that no domain is one task.
+    """
+    placed = running(queue, "domain", ["seq"], {"_n": F.lit(1)}, F.floor(F.col("seq") / F.lit(block)))
+    return placed.withColumn("start_s", (F.col("_n") - 1) * F.col(delay)).drop("_n")

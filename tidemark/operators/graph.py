@@ -20,6 +20,27 @@ def first_by(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, F.col("_b")[seq].alias(seq), *(F.col("_b")[c].alias(c) for c in rest)).select(*df.columns)
 
 
+def depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): breadth-first depths from ``roots``, where neither order nor ways matter.
+
+    ``edges``: src, dst; ``roots``: node. Each level is written once, by a join and an anti join
+    with the levels before; nothing is sorted.
+    """
+    spark = edges.sparkSession
+    frontier = staged(roots.select("node").distinct().withColumn("depth", F.lit(0)), "depths")
+    links = edges.select("src", "dst").distinct()
+    parts, depth = [frontier], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        seen = _union(spark, parts).select(F.col("node").alias("dst"))
+        hops = frontier.join(links, F.col("node") == F.col("src")).select("dst").distinct()
+        frontier = staged(hops.join(seen, "dst", "left_anti").select(F.col("dst").alias("node"), F.lit(depth).alias("depth")), "depths")
+        if frontier.limit(1).count() == 0:
+            break
+        parts.append(frontier)
+    return _union(spark, parts)
+
+
 def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth, order, parent, edge): breadth-first levels from ``roots``.
 

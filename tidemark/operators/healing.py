@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import column_map
 from . import dom
-from .extract import first, value_of
+from .extract import first, typed, value_of
 from .jobs import Job
 
 #: Weights of the signals, and the score that counts as found.
@@ -263,6 +263,23 @@ def heal_extract(pages: DataFrame, job: Job, stored: DataFrame) -> DataFrame:
     return rows.select("domain", "seq", "html", "keys", "prints").mapInArrow(column_map(walk, _HEALED, 16), HEALED_DDL)
 
 
+def merged(records: DataFrame, healed: DataFrame, urls: DataFrame, job: Job) -> DataFrame:
+    """Records with healed values where their selectors gave none, and the rows of healed listings.
+
+    ``records``: url, pos, fields; ``healed``: :func:`heal_extract`; ``urls``: (url, seq) of its
+    pages. Values found without confidence stay null.
+    """
+    used = healed.filter("healed and used and pos >= 0 and value is not null")
+    rows = healed.filter("pos >= 0").select("seq", "pos").distinct()
+    wide = used.groupBy("seq", "pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_v"))
+    kept = healed.filter("pos >= 0 and not healed and value is not null").groupBy("seq", "pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_w"))
+    found = rows.join(wide, ["seq", "pos"], "left").join(kept, ["seq", "pos"], "left").join(urls.select("url", "seq"), "seq").drop("seq")
+    both = records.join(found, ["url", "pos"], "full_outer")
+    text = lambda name: F.coalesce(F.try_element_at("_v", F.lit(name)), F.try_element_at("_w", F.lit(name)))
+    new = typed(job, F.array(*(text(name) for name in job.fields)))
+    return both.select("url", "pos", *(F.coalesce(F.col(f"`{name}`"), v).alias(name) for name, v in zip(job.fields, new)))
+
+
 def heal_events(healed: DataFrame) -> DataFrame:
     """Every attempt to heal, confident or not."""
     return healed.filter("healed").select("domain", "seq", "pos", "field", "score", "used", "new_locator")

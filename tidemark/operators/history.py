@@ -53,3 +53,35 @@ def consecutive(rows: DataFrame, key: str, ts: str, row_id: str) -> DataFrame:
         .select("new_id", "prev_id")
         .unionByName(links.filter(F.col("prev_id").isNotNull()))
     )
+
+
+def with_next(rows: DataFrame, key: str, order: str, values: list[str], block: Column) -> DataFrame:
+    """``rows`` with ``next``: a struct of ``values`` of the key's next row by ``order``, null for the last.
+
+    Two levels as in :func:`consecutive`: inside each (key, ``block``), then the first row of each
+    block for the last of the one before. ``block`` must not fall as ``order`` rises.
+    """
+    split = rows.withColumn("_block", block)
+    value = F.struct(*values)
+    inner = Window.partitionBy(key, "_block").orderBy(order)
+    firsts = split.groupBy(key, "_block").agg(F.min_by(value, order).alias("_first"))
+    after = firsts.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), F.lead("_first").over(Window.partitionBy(key).orderBy("_block")).alias("_after"))
+    near = split.withColumn("_near", F.lead(value).over(inner))
+    both = near.join(after, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return both.withColumn("next", F.coalesce("_near", "_after")).drop("_block", "_near", "_key", "_b", "_after")
+
+
+def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column], block: Column) -> DataFrame:
+    """``rows`` with running totals of ``sums`` over each key's rows in ``order``, own row included.
+
+    Two levels: inside each (key, ``block``), then one row per block; a hot key's rows are spread
+    over its blocks.
+    """
+    split = rows.withColumns({"_block": block, **{f"_{n}": c for n, c in sums.items()}})
+    inner = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = split.groupBy(key, "_block").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
+    offsets = totals.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums))
+    own = split.withColumns({f"_r_{n}": F.sum(f"_{n}").over(inner) for n in sums})
+    both = own.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return both.select(*rows.columns, *((F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums))

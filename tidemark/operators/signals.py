@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import web
@@ -10,7 +10,7 @@ from ..functions.redaction import redact
 from ..functions.safety import ACTIONABLE_ROLES, MEDIA_ROLES
 from ..functions.similarity import added
 from ..session import staged
-from .history import micros
+from .history import BLOCK_US, micros, with_next
 
 #: Headers whose presence is reported; quiet and longest wait in seconds.
 SECURITY_HEADERS = ("content-security-policy", "strict-transport-security", "x-frame-options")
@@ -138,11 +138,12 @@ def settled(events: DataFrame, quiet_s: float = QUIET_S, timeout_s: float = TIME
     ``events``: page_id, ts of any activity. Quiet means no activity for the window; a
     page that never gets there within the timeout is unsettled.
     """
-    order = Window.partitionBy("page_id").orderBy("ts")
     us = micros(F.col("ts"))
-    gaps = events.select("page_id", us.alias("t"), F.lead(us).over(order).alias("n"), F.min(us).over(Window.partitionBy("page_id")).alias("t0"))
-    quiet = F.col("n").isNull() | (F.col("n") - F.col("t") >= quiet_s * 1e6)
-    at = gaps.filter(quiet).groupBy("page_id").agg(F.min("t").alias("t"), F.min("t0").alias("t0"))
+    times = events.select("page_id", us.alias("t"))
+    gaps = with_next(times, "page_id", "t", ["t"], F.floor(F.col("t") / F.lit(BLOCK_US)))
+    n = F.col("next.t")
+    quiet = n.isNull() | (n - F.col("t") >= quiet_s * 1e6)
+    at = gaps.groupBy("page_id").agg(F.min(F.when(quiet, F.col("t"))).alias("t"), F.min("t").alias("t0"))
     end = (F.col("t") - F.col("t0")) / 1e6 + F.lit(quiet_s)
     ok = end <= timeout_s
     n = events.join(at, "page_id").filter(us <= F.when(ok, F.col("t")).otherwise(F.col("t0") + timeout_s * 1e6)).groupBy("page_id").agg(F.count(F.lit(1)).alias("mutations"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions.similarity import added
-from ..operators import api_surface, change, frontier, graph, images, signals, stats, store
-from ..operators.history import micros
+from ..operators import api_surface, change, frontier, graph, images, jobs, signals, stats, store
+from ..operators.history import BLOCK_US, micros, running, with_next
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -94,13 +94,24 @@ def event_tally(spark, d):
     return signals.tally(table(spark, d, "events", "user_id", "event_type", "event_id"), ["user_id"], "event_type", "event_id")
 
 
+#: Endings of requested urls, one or more of each kind.
+_ENDINGS = ("/a", "/a.html", "/a.js", "/a.css", "/a.png?v=1", "/a.woff2", "/a.mp4", "/a.json", "/api/a", "/a.bin", "/a.JPG", "/")
+_KIND_SQL = (
+    "SELECT user_id, ['/a', '/a.html', '/a.js', '/a.css', '/a.png?v=1', '/a.woff2', '/a.mp4', '/a.json', '/api/a', '/a.bin', '/a.JPG', '/'][event_id % 12 + 1] AS e, event_type, event_id FROM events"
+)
+
+
 @query(
-    "SELECT site_id, CASE WHEN regexp_matches(url, '\\?') THEN 'Documents' ELSE 'Documents' END AS category, count(*) AS total, 1 AS rank FROM runs GROUP BY ALL"
+    f"WITH u AS ({_KIND_SQL}), k AS (SELECT *, CASE WHEN e IN ('/a', '/a.html', '/') THEN 'Documents' WHEN e = '/a.js' THEN 'Scripts' WHEN e = '/a.css' THEN 'Styles' WHEN e IN ('/a.png?v=1', '/a.JPG') THEN 'Images' "
+    "WHEN e = '/a.woff2' THEN 'Fonts' WHEN e = '/a.mp4' THEN 'Media' WHEN e IN ('/a.json', '/api/a') THEN 'Data' ELSE 'Other' END AS category FROM u) "
+    "SELECT user_id, category, count(*) AS total, count(DISTINCT event_type || e) AS texts, list_position(['Documents', 'Scripts', 'Styles', 'Images', 'Fonts', 'Media', 'Data', 'Other'], category) AS rank FROM k GROUP BY user_id, category"
 )
 def network_kinds(spark, d):
-    """Requests of each site by kind."""
-    urls = table(spark, d, "runs", "site_id", "url", "id").select("site_id", F.col("url").alias("item"), F.col("id").alias("pos"))
-    return signals.network_tally(urls, ["site_id"]).select("site_id", "category", "total", F.col("rank").cast("int"))
+    """Requests of each user by kind, with the different texts of each."""
+    e = table(spark, d, "events", "event_id", "user_id", "event_type")
+    ending = F.element_at(F.array(*(F.lit(x) for x in _ENDINGS)), (F.col("event_id") % 12 + 1).cast("int"))
+    urls = e.select("user_id", F.concat(F.lit("https://shop.example/"), "event_type", ending).alias("item"), F.col("event_id").alias("pos"))
+    return signals.network_tally(urls, ["user_id"]).select("user_id", "category", "total", F.size("rows").alias("texts"), F.col("rank").cast("int"))
 
 
 @query("SELECT user_id AS run_id, count(*) FILTER (event_type <> 'signup') AS messages, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS page_errors FROM events GROUP BY 1")
@@ -134,8 +145,9 @@ def ordered_difference(spark, d):
     e = table(spark, d, "events", "user_id", "ts", "event_type", "event_id").withColumn("item", F.concat_ws("-", "event_type", (F.col("event_id") % 7).cast("string")))
     days = e.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "item"))).alias("l"))
     days = days.select("user_id", "day", F.col("l.item").alias("items"))
-    w = days.withColumn("b", F.lag("items").over(Window.partitionBy("user_id").orderBy("day"))).filter("b is not null")
-    return w.select("user_id", "day", F.array_sort(added(F.col("b"), F.col("items"))).alias("added"), F.array_sort(added(F.col("items"), F.col("b"))).alias("removed"))
+    w = with_next(days, "user_id", "day", ["day", "items"], F.trunc("day", "month")).filter("next is not null")
+    b, now = F.col("items"), F.col("next.items")
+    return w.select("user_id", F.col("next.day").alias("day"), F.array_sort(added(b, now)).alias("added"), F.array_sort(added(now, b)).alias("removed"))
 
 
 @query(
@@ -156,10 +168,10 @@ def settling(spark, d):
 )
 def budget_stop(spark, d):
     """When a run must stop, by running counters."""
-    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    states, requests = F.count(F.lit(1)).over(w), F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).over(w)
-    return e.select("event_id", policy.stop_reason(F.lit(False), states, requests, F.lit(0), max_states=40, max_requests=12).alias("reason"))
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type").withColumn("t", micros(F.col("ts")))
+    sums = {"states": F.lit(1), "requests": F.when(F.col("event_type") == "view", 1).otherwise(0)}
+    counted = running(e, "user_id", ["t", "event_id"], sums, F.floor(F.col("t") / F.lit(BLOCK_US)))
+    return counted.select("event_id", policy.stop_reason(F.lit(False), F.col("states"), F.col("requests"), F.lit(0), max_states=40, max_requests=12).alias("reason"))
 
 
 @query('SELECT event_type AS op, count(*) AS n, round(sum("value"), 3) AS total, median("value") AS median, quantile_disc("value", 0.95) AS p95 FROM events GROUP BY 1')
@@ -197,17 +209,23 @@ def change_detection(spark, d):
     return change.detect(responses, known).select("doc_id", "unchanged")
 
 
-@query("SELECT sha256(text) AS content_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT sha256(text) AS content_key, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def first_seen(spark, d):
     """Each text once, as it was seen first."""
     docs = table(spark, d, "documents", "doc_id", "text").filter("text is not null")
-    return docs.groupBy(F.sha2("text", 256).alias("content_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    queue = frontier.first_seen(docs.select(F.sha2("text", 256).alias("url"), F.col("doc_id").alias("seq")))
+    return queue.select(F.col("url").alias("content_key"), F.col("seq").alias("doc_id"))
 
 
 @query("SELECT s.id FROM sites s WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.site_id = s.id)")
 def unvisited(spark, d):
-    """Sites not visited yet."""
-    return table(spark, d, "sites", "id").join(table(spark, d, "runs", "site_id").withColumnRenamed("site_id", "id"), "id", "left_anti")
+    """Sites a resumed crawl still visits, those of earlier runs being seen."""
+    url = lambda c: F.concat(F.lit("https://x.example/s/"), c)
+    sites, seen = table(spark, d, "sites", "id"), table(spark, d, "runs", "site_id").distinct()
+    pages = sites.select(url("id").alias("url"), F.lit(200).alias("status"), F.lit("<p>none</p>").alias("html"))
+    job = jobs.job({"target": "https://x.example/none", "fields": {"p": {"selector": "p"}}})
+    out = frontier.crawl(pages, job, seeds=pages.select("url"), seen=seen.select(url("site_id").alias("url")), budget=None)
+    return out["visited"].select(F.substring_index("url", "/", -1).cast("bigint").alias("id"))
 
 
 #: Customers of consecutive orders form a graph; the walk starts at the customer of the first order.
@@ -231,16 +249,45 @@ def _order_graph(spark, d):
 def graph_levels(spark, d):
     """Breadth-first depth of every node reached within twelve steps."""
     edges, roots = _order_graph(spark, d)
-    return graph.levels(edges, roots, 12).select("node", "depth")
+    return graph.depths(edges, roots, 12)
+
+
+#: Pages of the order graph that answer 404, and that robots rules close.
+_GONE, _CLOSED = 17, 13
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_EDGES} WHERE dst IS NOT NULL), "
+    f"r AS (SELECT o_custkey AS node, 0 AS depth FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) "
+    f"UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4 AND r.node % {_GONE} <> 0 AND r.node % {_CLOSED} <> 0) "
+    f"SELECT node, min(depth) AS depth, CASE WHEN node % {_CLOSED} = 0 THEN 'blocked' WHEN node % {_GONE} = 0 THEN 'dead' ELSE 'visited' END AS outcome FROM r GROUP BY node"
+)
+def crawl_walk(spark, d):
+    """A whole crawl of pages that link each other, four links deep: what was visited, dead or blocked, and how deep."""
+    edges, roots = _order_graph(spark, d)
+    url = lambda c: F.concat(F.lit("https://x.example/p/"), c)
+    links = edges.select("src", "dst").distinct().groupBy("src").agg(F.array_join(F.collect_list(F.concat(F.lit('<a href="/p/'), "dst", F.lit('">x</a>'))), "").alias("html"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    status = F.when(F.col("node") % _GONE == 0, 404).otherwise(200)
+    pages = nodes.join(links, F.col("node") == F.col("src"), "left").select(url("node").alias("url"), status.alias("status"), F.coalesce("html", F.lit("")).alias("html"))
+    target = "https://x.example/p/" + str(roots.first()["node"])
+    job = jobs.job({"target": target, "crawl": {"max_depth": 4}, "fields": {"a": {"selector": "a"}}})
+    number = lambda c: F.substring_index(c, "/", -1).cast("bigint")
+    out = frontier.crawl(pages, job, allowed=lambda u: number(u) % _CLOSED != 0, budget=None)
+    parts = [out[k].select(number(F.col("url")).alias("node"), "depth", F.lit(k).alias("outcome")) for k in ("visited", "dead", "blocked")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _hashes(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    # sixteen signs, each four bits wide, so that near duplicates exist
-    bit = lambda i: F.when(F.element_at("embedding", i // 8 + 1) > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    h = bit(0)
-    for i in range(1, 64):
-        h = h.bitwiseOR(bit(i))
+    # eight signs of eight values each, each eight bits wide, so that near duplicates exist
+    value = lambda i: F.element_at("embedding", i).cast("double")
+    h = F.lit(0).cast("bigint")
+    for g in range(8):
+        total = value(g * 8 + 1)
+        for i in range(2, 9):
+            total = total + value(g * 8 + i)
+        h = h.bitwiseOR(F.when(total > 0, F.shiftleft(F.lit(255).cast("bigint"), g * 8)).otherwise(F.lit(0).cast("bigint")))
     own = F.col("vec_id") % 5
     noise = F.expr("shiftleft(1L, cast(vec_id % 60 as int))")
     return e.select(F.col("label").alias("grp"), F.col("vec_id").alias("seq"), F.when(own < 2, h).otherwise(h.bitwiseXOR(noise)).alias("hash"))
@@ -248,7 +295,8 @@ def _hashes(spark, d):
 
 _H = (
     "(SELECT label AS grp, vec_id AS seq, CASE WHEN vec_id % 5 < 2 THEN h ELSE xor(h, 1::HUGEINT << CAST(vec_id % 60 AS INTEGER)) END AS h FROM (SELECT label, vec_id, "
-    "list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i // 8 + 1] > 0 THEN (1::HUGEINT << CAST(i AS INTEGER)) ELSE 0::HUGEINT END))::HUGEINT AS h FROM embeddings))"
+    "list_sum(list_transform(range(8), lambda g: CASE WHEN embedding[g * 8 + 1]::DOUBLE + embedding[g * 8 + 2]::DOUBLE + embedding[g * 8 + 3]::DOUBLE + embedding[g * 8 + 4]::DOUBLE + embedding[g * 8 + 5]::DOUBLE + embedding[g * 8 + 6]::DOUBLE + embedding[g * 8 + 7]::DOUBLE + embedding[g * 8 + 8]::DOUBLE > 0 "
+    "THEN (255::HUGEINT << CAST(g * 8 AS INTEGER)) ELSE 0::HUGEINT END))::HUGEINT AS h FROM embeddings))"
 )
 
 
@@ -340,7 +388,17 @@ def edge_merge(spark, d):
     return graph.merge_edges(known, e.filter("o_orderkey % 3 <> 0 or o_orderkey % 2 = 1").drop("o_orderkey"))
 
 
-@query()
+_MAPS = (
+    "WITH d AS (SELECT id, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) <> 'VARCHAR' THEN CAST(t AS JSON) WHEN json_valid(json_extract_string(t, '$')) THEN CAST(json_extract_string(t, '$') AS JSON) END END AS j "
+    "FROM (SELECT id, exploration_json AS t FROM runs)), m AS (SELECT id, json_extract(j, '$.states') AS s FROM d WHERE json_type(j) = 'OBJECT') "
+)
+
+
+@query(
+    _MAPS + "SELECT m.id AS run_id, CAST(x.key AS INTEGER) AS seq, json_extract_string(x.value, '$.id') AS state_id, "
+    "CASE json_type(json_extract(x.value, '$.actions')) WHEN 'ARRAY' THEN CAST(json_array_length(json_extract(x.value, '$.actions')) AS INTEGER) WHEN 'OBJECT' THEN 1 END AS actions "
+    "FROM m, json_each(CASE json_type(s) WHEN 'ARRAY' THEN s WHEN 'OBJECT' THEN json_array(s) END) AS x WHERE x.type = 'OBJECT'"
+)
 def exploration_states(spark, d):
     """States of stored exploration maps with the sizes of their signals."""
     runs = table(spark, d, "runs", "id", "exploration_json").withColumnRenamed("id", "run_id")
@@ -348,10 +406,17 @@ def exploration_states(spark, d):
     return states.select("run_id", "seq", "state_id", F.size("actions").alias("actions"))
 
 
-@query()
+@query(
+    "SELECT '/api/' || event_type || '/{id}' AS path, CASE WHEN event_type = 'purchase' THEN 'post' ELSE 'get' END AS method, list_sort(list(DISTINCT CAST(200 + event_id % 3 AS VARCHAR))) AS responses "
+    "FROM events WHERE event_id % 4 <> 0 GROUP BY ALL"
+)
 def synthesized_openapi(spark, d):
-    """One OpenAPI document of the observed endpoints."""
-    return api_surface.openapi(endpoint_clusters(spark, d), "https://shop.example")
+    """The OpenAPI document of the observed endpoints, read back operation by operation."""
+    document = api_surface.openapi(endpoint_clusters(spark, d), "https://shop.example")
+    kind = "struct<paths:map<string,map<string,struct<responses:map<string,struct<description:string>>>>>>"
+    paths = document.select(F.explode(F.from_json("document", kind)["paths"]).alias("path", "ops"))
+    ops = paths.select("path", F.explode("ops").alias("method", "op"))
+    return ops.select("path", "method", F.array_sort(F.map_keys("op.responses")).alias("responses"))
 
 
 @query(

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..operators import extract, healing, jobs
+from ..session import staged
 from ..sources.tables import table
+from .pipeline import Tier, run_tier
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,12 +104,14 @@ def element_counts(spark, d):
     return want.join(have, ["page", "tag"], "left").fillna(0, ["elements"])
 
 
-@query()
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(trim(regexp_replace(coalesce(source, 'none'), '\\s+', ' ', 'g')))) AS first_id FROM documents")
 def page_states(spark, d):
-    """State ids: pages that differ in volatile text only share one."""
+    """The first page of each page's state: pages that differ in volatile text only share one."""
     docs = table(spark, d, "documents", "doc_id", "source", "fetched_at")
     html = F.concat(F.lit("<body><h1>"), F.lower(F.trim(F.coalesce("source", F.lit("none")))), F.lit("</h1><p>seen "), F.coalesce(F.col("fetched_at").cast("string"), F.lit("2026-01-01")), F.lit(" row "), "doc_id", F.lit("</p>"))
-    return extract.state_ids(docs.select("doc_id", html.alias("html")), "doc_id")
+    states = staged(extract.state_ids(docs.select("doc_id", html.alias("html")), "doc_id"), "page_states")
+    first = states.groupBy("state_id").agg(F.min("doc_id").alias("first_id"))
+    return states.join(first, "state_id").select("doc_id", "first_id")
 
 
 @query(f"SELECT row_id, name FROM (SELECT row_id, nullif({_XML}, '') AS name, count(*) OVER (PARTITION BY site_id, row_id // 100) AS n FROM juice_shop_products) WHERE n >= 2")
@@ -120,3 +124,14 @@ def heal_listing(spark, d):
     got = healing.heal_extract(site(changed, F.col("seq")), CARD, before)
     ids = changed.select("seq", F.posexplode("ids").alias("pos", "row_id"))
     return ids.join(got.filter("field = 'name'"), ["seq", "pos"]).select("row_id", F.col("value").alias("name"))
+
+
+@query(f"SELECT row_id, name, price, brand FROM (SELECT row_id, nullif({_XML}, '') AS name, price, nullif({_XML.replace('name', 'brand')}, '') AS brand, count(*) OVER (PARTITION BY site_id, row_id // 100) AS n FROM juice_shop_products) WHERE n >= 2")
+def healed_records(spark, d):
+    """A whole run over listing pages whose classes were renamed: healed values stand in the records."""
+    before = healing.remember(_pages(spark, d).select(web.authority(F.col("url")).alias("domain"), F.lit(1).alias("seq"), "html"), CARD)
+    changed = staged(_pages(spark, d, renamed=True), "renamed_pages")
+    pages = changed.select("url", F.lit(200).alias("status"), "html")
+    run = run_tier(Tier("plain", pages), CARD, fingerprints=before, seeds=pages.select("url"), budget=None)
+    ids = changed.select("url", F.posexplode("ids").alias("pos", "row_id"))
+    return ids.join(run.records, ["url", "pos"]).select("row_id", "name", "price", "brand")

@@ -61,7 +61,8 @@ def run_tier(tier: Tier, job: Job, on_response: Hook | None = None, validators:
     healed = None
     if fingerprints is not None:
         parts = pages.select(web.authority(F.col("url")).alias("domain"), F.xxhash64("url").alias("seq"), "html")
-        healed = healing.heal_extract(parts, job, fingerprints)
+        healed = staged(healing.heal_extract(parts, job, fingerprints), "healed")
+        records = healing.merged(records, healed, pages.select("url", F.xxhash64("url").alias("seq")), job)
     challenge = frontier.challenge_of_run(pages.select(F.lit(0).alias("run_id"), "seq", "html"))
     outcomes = {"visited": got, "unchanged": unchanged, "challenge": challenge, **{k: out[k] for k in ("blocked", "dead", "rest", "seen")}}
     return Result(tier.name, records, outcomes, healed, kept)

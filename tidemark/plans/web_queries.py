@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import endpoints, policy, redaction, safety, similarity, text, web
+from ..operators.history import with_next
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -272,10 +273,8 @@ def quoted_endpoints(spark, d):
 )
 def jaccard_tokens(spark, d):
     """Shared words of consecutive documents of a site."""
-    from pyspark.sql import Window
-
     rows = table(spark, d, "documents", "doc_id", "site_id", "text").filter("text is not null").select("doc_id", "site_id", F.array_distinct(F.split("text", " ", -1)).alias("a"))
-    w = rows.withColumn("b", F.lead("a").over(Window.partitionBy("site_id").orderBy("doc_id"))).filter("b is not null")
+    w = with_next(rows, "site_id", "doc_id", ["a"], F.floor(F.col("doc_id") / F.lit(10_000))).withColumn("b", F.col("next.a")).filter("b is not null")
     return w.select("doc_id", similarity.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 

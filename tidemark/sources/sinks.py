@@ -1,7 +1,7 @@
 """Where records go: checked, redacted, and written in one of six formats.
 
-Files of one piece (JSON array, CSV, Markdown, SQLite) stream partition by partition
-through the driver; the folder formats are written by the executors.
+Executors write folders of files. Files of one piece (SQLite, and JSON, CSV and Markdown
+where ``merged`` is asked for) stream partition by partition through the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ import json
 import sqlite3
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,14 +47,51 @@ def checked(records: DataFrame, schema: T.StructType) -> DataFrame:
     return records.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
 
 
-def write_records(records: DataFrame, schema: T.StructType, path: str, explicit: str | None = None) -> str:
-    """Check, redact and write; returns the format."""
+def write_records(records: DataFrame, schema: T.StructType, path: str, explicit: str | None = None, merged: bool = False) -> str:
+    """Check, redact and write; returns the format.
+
+    Executors write a folder of files, each whole in its format (JSON: one array a file;
+    Markdown: one table a file). ``merged`` makes one local file of it instead, row by row on the
+    driver; SQLite is always that.
+    """
     kind = resolve_format(path, explicit)
     rows = redact_frame(checked(records, schema))
+    if not merged and kind in ("json", "csv", "md"):
+        {"json": _json_files, "csv": _csv_files, "md": _markdown_files}[kind](rows, path)
+        return kind
     {"json": _json, "jsonl": _jsonl, "csv": _csv, "md": _markdown, "sqlite": _sqlite, "parquet": _parquet}[kind](rows, path)
     return kind
 
 
+def _part(rows: DataFrame, path: str, line: Column, before: str, between: str, after: str) -> None:
+    """Text files of a partition's lines each, with a head and an end."""
+
+    def walk(batches):
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([(before if first and i == 0 else between) + x for i, x in enumerate(lines)])], names=["value"])
+                first = False
+        if not first and after:
+            yield pa.RecordBatch.from_arrays([pa.array([after])], names=["value"])
+
+    rows.select(line.alias("line")).mapInArrow(walk, "value string").write.mode("overwrite").text(path)
+
+
+def _json_files(rows: DataFrame, path: str) -> None:
+    _part(rows, path, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), "[", ",", "]")
+
+
+def _csv_files(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def _markdown_files(rows: DataFrame, path: str) -> None:
+    head = "| " + " | ".join(rows.columns) + " |\n| " + " | ".join("---" for _ in rows.columns) + " |\n"
+    _part(rows, path, F.concat(F.lit("| "), F.concat_ws(" | ", *(markdown_cell(F.col(f"`{c}`")) for c in rows.columns)), F.lit(" |")), head, "", "")
+
+
 def _json(rows: DataFrame, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write("[")
