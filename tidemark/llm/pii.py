@@ -394,6 +394,8 @@ _CUE = re.compile(
     rf"|Hi|Hello|Dear|Hallo|Bonjour|Hola|Best,|Regards,|Thanks,|again,|Cheers,|Grüße,?|Grüßen,?|[Ss]aludos?,|Cordialement,|signed(?: by)?|Unterschrift:|author:|owner:|Name:|by|von|par|por|mit|with|and|und|et|y|/)\s|first\+last=|\"|{_TITLE})\Z"
 )
 _SIGN_OFF = re.compile(r"\b(?:Best|Regards|Thanks|again|Cheers|Grüßen?|[Ss]aludos?|Cordialement|Hi|Hello|Hallo|Bonjour|Hola),?\s\Z")
+#: Words after which a single name that is an ordinary word as well is a person's.
+_TOLD = re.compile(r"\b(?:told|said|signed|sent|written) by\s\Z")
 _TITLE_END = re.compile(rf"(?<!\w){_TITLE}\Z")
 #: What may follow a name whose words are all ordinary words as well.
 _AFTER_NAME = re.compile(
@@ -627,7 +629,7 @@ def names(text: str, lex: Lexicon, taken: list[tuple[int, int]]) -> list[tuple[i
                 left = text[max(0, a - 16) : a]
                 follows = re.match(r"[^\w]*[^\W\d_]*", text[b:])[0].lstrip()
                 good = capitals and (
-                    clear(best[0]) or (bool(_TITLE_END.search(left)) and after != " ") or (bool(_SIGN_OFF.search(left)) and not follows[:1].islower())
+                    clear(best[0]) or bool(_TOLD.search(left)) or (bool(_TITLE_END.search(left)) and after != " ") or (bool(_SIGN_OFF.search(left)) and not follows[:1].islower())
                 )
             elif capitals:
                 good = sure > 0 or cued or bool(_AFTER_NAME.match(text[b : b + 24]))
