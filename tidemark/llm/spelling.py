@@ -85,7 +85,7 @@ def encode(rows: DataFrame, row_id: str, fields: dict[str, bool], hot: int = HOT
     ``fields``: column to True where its spelling is folded, False where the text or
     number counts as it is. A dictionary whose size is known to be small is broadcast.
     Of a larger one only the entries in ``hot`` rows or more are (at most rows / ``hot``
-    of them); their rows take no part in the join by key but spread over it.
+    of them); their rows, and those that are null, take no part in the join by key but spread over it.
     """
     kinds = dict(rows.dtypes)
     names = sorted(fields)
@@ -95,16 +95,18 @@ def encode(rows: DataFrame, row_id: str, fields: dict[str, bool], hot: int = HOT
     sizes = {r["field"]: r for r in books.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars"), F.max("n").alias("most")).collect()}
     for i in range(len(names)):
         book, size = books.filter(F.col("field") == i), sizes.get(i)
+        own = F.concat(F.lit("\0"), F.col("_id").cast("string"))
+        apart = text.withColumn(f"_f{i}", F.coalesce(f"_f{i}", own))  # null rows have no key in common
         entry = lambda b, code: b.select(F.col("raw").alias(f"_f{i}"), F.col("code").alias(code))  # noqa: E731, B023
         if size is None or (size["n"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS):
             text = text.join(F.broadcast(entry(book, f"c{i}")), f"_f{i}", "left").drop(f"_f{i}")
         elif size["most"] >= hot:
-            text = text.join(F.broadcast(entry(book.filter(F.col("n") >= hot), "_hot")), f"_f{i}", "left")
-            aside = F.when(F.col("_hot").isNull(), F.col(f"_f{i}")).otherwise(F.concat(F.lit("\0"), F.col("_id").cast("string")))
+            text = apart.join(F.broadcast(entry(book.filter(F.col("n") >= hot), "_hot")), f"_f{i}", "left")
+            aside = F.when(F.col("_hot").isNull(), F.col(f"_f{i}")).otherwise(own)
             text = text.withColumn(f"_f{i}", aside).join(entry(book.filter(F.col("n") < hot), "_cold"), f"_f{i}", "left")
             text = text.withColumn(f"c{i}", F.coalesce("_hot", "_cold")).drop(f"_f{i}", "_hot", "_cold")
         else:
-            text = text.join(entry(book, f"c{i}"), f"_f{i}", "left").drop(f"_f{i}")
+            text = apart.join(entry(book, f"c{i}"), f"_f{i}", "left").drop(f"_f{i}")
     return text.select("_id", *(F.coalesce(f"c{i}", F.lit(0)).alias(f"c{i}") for i in range(len(names))))
 
 
