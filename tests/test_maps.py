@@ -188,6 +188,10 @@ def test_hash_and_crop(spark):
     assert images.dhash(ramp) == -1 and images.dhash(ramp[:, ::-1]) == 0
     big = np.random.default_rng(1).integers(0, 256, (20, 30, 3), dtype=np.uint8)
     assert images.find_crop(big[5:9, 7:12], big) == (7, 5) and images.find_crop(big, big[:5]) is None
+    flat = np.zeros((200, 200, 3), np.uint8)
+    flat[150, 160] = 9
+    assert images.find_crop(flat[140:155, 150:165], flat) == (150, 140)  # past thousands of places with the same corner
+    assert images.find_crop(flat[140:155, 150:165], flat, images.MAX_POSITIONS) is None
     df = spark.createDataFrame([(bytearray(png(big[2:6, 3:8])), bytearray(png(big))), (bytearray(b"x"), None)], "c binary, p binary")
     got = [tuple(r["v"]) for r in df.select(images.crop_position("c", "p").alias("v")).collect()]
     assert got == [(3, 2), (None, None)]

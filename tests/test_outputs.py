@@ -74,6 +74,15 @@ def test_wiki_and_suite(spark, tmp_path):
     assert render.test_suite(graph.paths(tree, t), t.limit(0), str(tmp_path / "z")) == []
 
 
+def test_wiki_of_many_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(render, "PAGE_STATES", 1)
+    parts = graph.explode_map(spark.createDataFrame([(1, json.dumps(MAP))], "run_id bigint, exploration_json string"))
+    names = render.wiki(*parts, str(tmp_path / "w"), "https://h.example/")
+    assert names == ["index-2.html", "index.html", "state-0.html", "state-1.html", "transition-0.html"]
+    assert "index-2.html" in (tmp_path / "w/index.html").read_text() and "transition-0.html" in (tmp_path / "w/state-0.html").read_text()
+    assert render.wiki(*(p.limit(0) for p in parts), str(tmp_path / "e"), "t") == ["index.html"]
+
+
 def test_reports(spark):
     e = spark.createDataFrame([("d", "a|b", "h3.x", True, 0.9), ("d", "c", None, False, 0.5)], "domain string, field string, new_locator string, used boolean, score double")
     text = render.healing_report(e)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.similarity import hamming
 from ..session import staged
 
-#: Bits that may differ, and positions tried when looking for a crop.
+#: Bits that may differ, and positions a guarded crawl tries when looking for a crop.
 NEAR_BITS = 3
 MAX_POSITIONS = 8192
 
@@ -118,16 +118,26 @@ def perceptual_hash(png: pd.Series) -> pd.Series:
     return pd.Series([dhash(decode_png(bytes(p))) if p is not None else None for p in png], dtype="Int64")
 
 
-def find_crop(small: np.ndarray, big: np.ndarray) -> tuple[int, int] | None:
-    """(x, y) of the topmost, then leftmost place where ``small`` is exactly part of ``big``."""
+def find_crop(small: np.ndarray, big: np.ndarray, most: int | None = None) -> tuple[int, int] | None:
+    """(x, y) of the topmost, then leftmost place where ``small`` is exactly part of ``big``.
+
+    The first place left is compared whole; the pixel that differs there then rules out all places
+    that differ in it as well. ``most`` (:data:`MAX_POSITIONS` in a guarded crawl) bounds the places
+    that share the first pixel; by default all are tried.
+    """
     sh, sw = small.shape[:2]
     bh, bw = big.shape[:2]
     if small.size == 0 or sh > bh or sw > bw:
         return None
-    ys, xs = np.nonzero((big[: bh - sh + 1, : bw - sw + 1] == small[0, 0]).all(axis=-1))
-    for y, x in zip(ys[:MAX_POSITIONS], xs[:MAX_POSITIONS]):
-        if np.array_equal(big[y : y + sh, x : x + sw], small):
+    ys, xs = (v[:most] for v in np.nonzero((big[: bh - sh + 1, : bw - sw + 1] == small[0, 0]).all(axis=-1)))
+    while len(ys):
+        y, x = ys[0], xs[0]
+        wrong = np.argwhere((big[y : y + sh, x : x + sw] != small).any(axis=-1))
+        if not len(wrong):
             return int(x), int(y)
+        dy, dx = wrong[0]
+        left = (big[ys + dy, xs + dx] == small[dy, dx]).all(axis=-1)
+        ys, xs = ys[left], xs[left]
     return None
 
 
@@ -208,7 +218,7 @@ def resolve_pictures(shots: DataFrame) -> DataFrame:
     reps = real.groupBy("grp", "hash").agg(F.min("seq").alias("seq"))
     pairs = staged(near_pairs(reps), "near_pairs").select("grp", "a", "b")
     kept = reps.select("grp", "seq").join(pairs.select("grp", F.col("b").alias("seq")).distinct(), ["grp", "seq"], "left_anti").select("grp", "seq", F.col("seq").alias("kept"))
-    kept = staged(kept, "pictures")
+    kept = staged(kept, "pictures")  # decisions are staged once and only added
     while True:
         todo = reps.select("grp", "seq").join(kept.select("grp", "seq"), ["grp", "seq"], "left_anti")
         if not todo.limit(1).count():
@@ -220,7 +230,7 @@ def resolve_pictures(shots: DataFrame) -> DataFrame:
             F.min(F.when(F.col("kept").isNull(), F.col("a"))).alias("wait"),
         )
         ready = per.filter(F.col("wait").isNull() | (F.col("near") < F.col("wait")))
-        kept = staged(kept.unionByName(ready.select("grp", F.col("b").alias("seq"), F.coalesce("near", "b").alias("kept"))), "pictures")
+        kept = kept.unionByName(staged(ready.select("grp", F.col("b").alias("seq"), F.coalesce("near", "b").alias("kept")), "pictures"))
     by_hash = real.join(reps.select("grp", "hash", F.col("seq").alias("rep")), ["grp", "hash"]).select("grp", F.col("seq").alias("first"), "rep")
     final = by_hash.join(kept.select("grp", F.col("seq").alias("rep"), "kept"), ["grp", "rep"]).select("grp", "first", "kept")
     rows = shots.select("grp", "seq", "key").join(first.select("grp", "key", "first"), ["grp", "key"])

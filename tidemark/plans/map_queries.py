@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions.similarity import added
-from ..operators import api_surface, change, frontier, graph, images, jobs, signals, stats, store
+from ..operators import api_surface, change, frontier, graph, images, jobs, retries, signals, stats, store
 from ..operators.history import BLOCK_US, micros, running, with_next
 from ..sources.tables import table
 
@@ -430,3 +430,47 @@ def quiet_sessions(spark, d):
 
     e = table(spark, d, "events", "user_id", "ts").withColumnRenamed("user_id", "page_id")
     return sessions(e, 21600.0).select("page_id", micros(F.col("start")).alias("start_us"), "mutations")
+
+
+_TRIES = (
+    "SELECT event_id // 4 AS page, event_id % 4 + 1 AS attempt, CASE WHEN event_id * 7 % 11 < 4 THEN 503 WHEN event_id * 7 % 11 < 6 THEN 429 WHEN event_id * 7 % 11 < 7 THEN 404 ELSE 200 END AS status, event_id FROM events"
+)
+
+
+@query(
+    f"WITH t AS (SELECT *, CASE WHEN status = 429 THEN CAST(event_id % 200 AS DOUBLE) END AS after FROM ({_TRIES}) WHERE event_id % 4 < 3), "
+    "e AS (SELECT page, coalesce(min(CASE WHEN status IN (200, 404) THEN attempt END), max(attempt)) AS last FROM t GROUP BY page) "
+    "SELECT t.page AS page, max(CASE WHEN attempt = last THEN CASE status WHEN 200 THEN 'success' ELSE 'dead' END END) AS outcome, "
+    "max(CASE WHEN attempt = last THEN CASE status WHEN 200 THEN '' WHEN 404 THEN 'client error (404)' WHEN 429 THEN 'rate limited (429)' ELSE 'server error (503)' END END) AS reason, "
+    "CAST(max(last) AS INTEGER) AS attempts, coalesce(sum(CASE WHEN attempt < last THEN CASE WHEN after IS NOT NULL THEN least(after, 120.0) ELSE 0.5 * pow(2, attempt - 1) END END), 0.0) AS waited_s "
+    "FROM t JOIN e ON e.page = t.page GROUP BY t.page"
+)
+def retry_outcomes(spark, d):
+    """How the tries of each page ended, and how long they waited."""
+    e, i = table(spark, d, "events", "event_id"), F.col("event_id")
+    k = i * 7 % 11
+    status = F.when(k < 4, 503).when(k < 6, 429).when(k < 7, 404).otherwise(200)
+    tries = e.select(F.floor(i / 4).alias("url"), (i % 4 + 1).cast("int").alias("attempt"), status.alias("status"), F.when(status == 429, (i % 200).cast("double")).alias("retry_after"))
+    return retries.outcomes(tries).withColumnRenamed("url", "page")
+
+
+@query(
+    f"SELECT url, tier, (epoch_us(TIMESTAMP '2026-06-01') - us) / 1e6 AS age_seconds FROM (SELECT url, tier, {_US} AS us, row_number() OVER (PARTITION BY url ORDER BY {_US} DESC NULLS LAST, id DESC) AS n FROM runs) WHERE n = 1"
+)
+def served_maps(spark, d):
+    """What is served of each url, with its age on a day."""
+    view = store.map_view(table(spark, d, "runs"), F.lit("2026-06-01 00:00:00").cast("timestamp"))
+    return view.select("url", "tier", "age_seconds")
+
+
+_COUNT = "CASE json_type(json_extract(j, '$.{0}')) WHEN 'ARRAY' THEN len(list_filter(CAST(json_extract(j, '$.{0}') AS JSON[]), lambda x: json_type(x) = 'OBJECT')) WHEN 'OBJECT' THEN 1 ELSE 0 END"
+
+
+@query(
+    _MAPS + f"SELECT * FROM (SELECT id AS run_id, {_COUNT.format('states')} AS states, {_COUNT.format('transitions')} AS transitions, {_COUNT.format('skipped')} AS skipped FROM d WHERE json_type(j) = 'OBJECT') WHERE states > 0"
+)
+def shared_maps(spark, d):
+    """The counts of the maps that may be shared."""
+    runs = table(spark, d, "runs", "id", "exploration_json").withColumnRenamed("id", "run_id")
+    shared = graph.shareable_map(*graph.explode_map(runs))
+    return shared.select("run_id", *(F.col(f"exploration.counts.{c}").alias(c if c != "skips" else "skipped") for c in ("states", "transitions", "skipped")))
