@@ -35,6 +35,8 @@ TAGS = {
 }
 #: Table of all objects that have no table of their own; so data decides no names of tables.
 OTHER = "other"
+#: Bytes of a row group; a task holds one for each table it writes.
+ROW_GROUP = 16 << 20
 COLUMNS = ("records_json", "api_surface_json", "exploration_json")
 #: Columns of which the outermost object is the container and no row of its own.
 CONTAINERS = frozenset({"api_surface_json", "exploration_json"})
@@ -150,7 +152,8 @@ def write_tables(emitted: DataFrame, path: str, rebalance: bool = False) -> None
     spark.conf.set(setting, str(len(TAGS) + 2))
     try:
         rows = emitted.hint("rebalance", "tag") if rebalance else emitted
-        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("tag").parquet(path)
+        writer = rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+        writer.partitionBy("tag").parquet(path)
     finally:
         spark.conf.set(setting, before)
 

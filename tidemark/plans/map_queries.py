@@ -347,13 +347,13 @@ def dispatch_times(spark, d):
     return frontier.dispatch_times(q).select("event_id", "start_s")
 
 
-@query(
-    "SELECT site_id, count(*) FILTER (tier IS NOT NULL) = 0 AND count(*) FILTER (records_json IS NOT NULL) = 0 AS escalate FROM runs GROUP BY site_id"
-)
+@query("SELECT id, records_json IS NULL AND tier IS NULL AND site_id % 3 <> 0 AND length(url) % 5 <> 0 AS escalate FROM runs WHERE records_json IS NULL OR tier IS NULL")
 def escalation(spark, d):
-    """Sites whose plain crawl came back with nothing."""
-    r = table(spark, d, "runs", "site_id", "tier", "records_json").groupBy("site_id").agg(F.count("records_json").alias("records"), F.count("tier").alias("dead"))
-    return r.select("site_id", policy.should_escalate(F.col("records"), F.lit(0), F.col("dead"), F.lit(0)).alias("escalate"))
+    """Runs whose plain crawl came back with nothing: no record, nothing blocked, dead or unchanged."""
+    r = table(spark, d, "runs", "id", "site_id", "url", "tier", "records_json").filter("records_json is null or tier is null")
+    n = lambda c: c.cast("int")
+    verdict = policy.should_escalate(n(F.col("records_json").isNotNull()), n(F.col("site_id") % 3 == 0), n(F.col("tier").isNotNull()), n(F.length("url") % 5 == 0))
+    return r.select("id", verdict.alias("escalate"))
 
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, map_queries, page_queries, web_queries
+from . import adapter_queries, core, map_queries, page_queries, web_queries
 
-_MODULES = (core, web_queries, map_queries, page_queries)
+_MODULES = (core, web_queries, map_queries, page_queries, adapter_queries)
 
 
 def core_queries() -> dict:

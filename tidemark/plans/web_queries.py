@@ -25,12 +25,6 @@ def query(sql: str | None = None):
 
 _AUTH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
-_EXT = {k: "', '".join(v) for k, v in web.EXTENSIONS.items()}
-_CATEGORY = (
-    "CASE WHEN contains(seg, '.') THEN CASE "
-    + " ".join(f"WHEN ext IN ('{v}') THEN '{k}'" for k, v in _EXT.items())
-    + " ELSE 'Other' END WHEN contains(lower(path), '/api/') THEN 'Data' ELSE 'Documents' END"
-)
 #: All urls of the run history and of the scraped posters.
 _URLS = "(SELECT url FROM runs UNION ALL SELECT poster AS url FROM streaming_clone_catalog WHERE poster IS NOT NULL)"
 
@@ -52,26 +46,39 @@ def url_parts(spark, d):
     return _urls(spark, d).distinct().select("url", *(c.alias(n) for n, c in cols.items()))
 
 
-@query(
-    f"WITH p AS (SELECT {_PATH} AS path FROM {_URLS}), s AS (SELECT path, string_split(path, '/')[-1] AS seg FROM p), "
-    f"e AS (SELECT path, seg, lower(string_split(seg, '.')[-1]) AS ext FROM s) "
-    f"SELECT {_CATEGORY} AS category, count(*) AS requests FROM e GROUP BY 1"
-)
+#: Endings of requested urls and the kinds they stand for.
+_REQUESTS = (
+    ("/a", "Documents"), ("/a.html", "Documents"), ("/a.mjs", "Scripts"), ("/a.css?x=/b.js", "Styles"), ("/a.JPG", "Images"), ("/a.b/c.woff2", "Fonts"), ("/a.mp4#t.js", "Media"),
+    ("/a.xml", "Data"), ("/API/a", "Data"), ("/a.tar.gz", "Other"), ("/api/a.svg", "Images"), ("/a.js/", "Documents"),
+)
+
+
+@query("SELECT event_id, [" + ", ".join(f"'{kind}'" for _, kind in _REQUESTS) + "][event_id % 12 + 1] AS category FROM events")
 def request_category(spark, d):
-    """Requests by kind."""
-    return _urls(spark, d).groupBy(web.request_category(F.col("url")).alias("category")).agg(F.count(F.lit(1)).alias("requests"))
+    """The kind of each request."""
+    ending = F.element_at(F.array(*(F.lit(e) for e, _ in _REQUESTS)), (F.col("event_id") % 12 + 1).cast("int"))
+    e = table(spark, d, "events", "event_id", "event_type")
+    return e.select("event_id", web.request_category(F.concat(F.lit("https://shop.example/"), "event_type", ending)).alias("category"))
 
 
 _TEMPLATE = "array_to_string(list_transform(string_split({p}, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+|(?i:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})|(?i:[0-9a-f]{{24,}})') THEN '{{id}}' ELSE s END), '/')"
-_EVENT_PATH = "'/users/' || user_id || '/' || event_type || '/' || md5(CAST(event_id AS VARCHAR))"
+_HEX = "md5(CAST(event_id AS VARCHAR))"
+_EVENT_PATH = (
+    f"'/users/' || user_id || '/' || event_type || '/' || CASE event_id % 5 WHEN 0 THEN {_HEX} WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN 'v' || event_id WHEN 3 THEN substr({_HEX}, 1, 23) "
+    f"ELSE upper(substr({_HEX}, 1, 8) || '-' || substr({_HEX}, 9, 4) || '-' || substr({_HEX}, 13, 4) || '-' || substr({_HEX}, 17, 4) || '-' || substr({_HEX}, 21, 12)) END"
+)
 
 
-@query(f"SELECT {_TEMPLATE.format(p=_EVENT_PATH)} AS path, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT event_id, {_TEMPLATE.format(p=_EVENT_PATH)} AS path FROM events")
 def path_template(spark, d):
-    """Paths with identifiers templated, counted."""
+    """Paths with identifiers templated: numbers, long hexadecimals and UUIDs, but no slugs."""
     e = table(spark, d, "events", "event_id", "user_id", "event_type")
-    p = F.concat(F.lit("/users/"), F.col("user_id"), F.lit("/"), F.col("event_type"), F.lit("/"), F.md5(F.col("event_id").cast("string")))
-    return e.groupBy(endpoints.template_path(p).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    i, h = F.col("event_id"), F.md5(F.col("event_id").cast("string"))
+    part = lambda at, n: F.substring(h, at, n)
+    uuid = F.upper(F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)))
+    last = F.when(i % 5 == 0, h).when(i % 5 == 1, i.cast("string")).when(i % 5 == 2, F.concat(F.lit("v"), i)).when(i % 5 == 3, part(1, 23)).otherwise(uuid)
+    path = F.concat(F.lit("/users/"), F.col("user_id"), F.lit("/"), F.col("event_type"), F.lit("/"), last)
+    return e.select("event_id", endpoints.template_path(path).alias("path"))
 
 
 @query(

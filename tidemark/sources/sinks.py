@@ -84,7 +84,8 @@ def _json_files(rows: DataFrame, path: str) -> None:
 
 
 def _csv_files(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+    kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.write.mode("overwrite").options(header="true", escape='"', emptyValue="", **kept).csv(path)
 
 
 def _markdown_files(rows: DataFrame, path: str) -> None:
