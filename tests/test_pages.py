@@ -211,3 +211,47 @@ def test_robots(spark):
     df = spark.createDataFrame([(200, "User-agent: *\nDisallow: /x\nCrawl-delay: 2"), (404, None), (503, None)], "status int, body string")
     got = df.select(frontier.robots_verdict("body", "status", F.lit("https://h.example/x/1"), F.lit("bot")).alias("v")).select("v.*").collect()
     assert [(r["allowed"], r["delay"]) for r in got][0] == (False, 2.0) and [r["allowed"] for r in got] == [False, True, False]
+
+
+def test_plain_markup_parses_like_any():
+    """The short way over plain markup builds what the parser builds, and the same fingerprints."""
+    parts = ["<p>", "</p>", "<li class='a b'>", "</li>", "<ul>", "</ul>", "<br>", "<table>", "<tr>", "<td>", "<title>", "</title>", "x &amp; y", "a > b", "<a href='/x' id=\"q\" id='z'>", "<body>", "<h1>", "<script>", "<!-- c -->", "<br/>"]
+    shape = lambda root: [(n.tag, n.attrs, n.depth, n.index, [c if type(c) is str else c.tag for c in n.children]) for n in root.iter()]
+    rng, plain = random.Random(7), 0
+    for _ in range(3000):
+        html = "".join(rng.choices(parts, k=rng.randint(0, 9)))
+        builder = dom._Builder()
+        builder.feed(html)
+        builder.close()
+        root = dom.parse(html)
+        assert shape(root) == shape(builder.root), html
+        marks, prints = dom.marks(root), dom.fingerprints(root, False)
+        assert all(dom.marked(marks[k]) == p for k, p in prints.items())
+        plain += dom._plain(html) is not None
+    assert plain > 500
+
+
+def test_pages_of_one_domain_are_healed_by_many_tasks(spark, monkeypatch):
+    """Stored fingerprints meet the pages without moving a domain's pages to one task, joined or not."""
+    job = jobs.job({"target": "https://h.example/", "item": "li.card", "fields": {"name": {"selector": "h3.n"}}})
+    rows = [("h.example", i, listing([f"A{i}", f"B{i}"])) for i in range(40)]
+    before = healing.remember(spark.createDataFrame(rows, "domain string, seq bigint, html string").repartition(4, "seq"), job)
+    first = before.filter("key = 'li.card::name'").first()["print"]
+    assert first["ancestors"][-1] == "li" and before.count() == 2
+    changed = spark.createDataFrame([(d, i, h.replace('"card"', '"tile"').replace('"n"', '"t"')) for d, i, h in rows], "domain string, seq bigint, html string").repartition(4, "seq")
+    got = {}
+    for most in (healing.MAX_KNOWN, 0):
+        monkeypatch.setattr(healing, "MAX_KNOWN", most)
+        monkeypatch.setattr(healing, "HOT_DOMAIN", 10)
+        healed = healing.heal_extract(changed, job, before).select("*", F.spark_partition_id().alias("task")).filter("field = 'name'").collect()
+        assert len({r["task"] for r in healed}) > 1
+        got[most] = sorted((r["seq"], r["pos"], r["value"], r["score"], r["new_locator"], r["print"]["ancestors"]) for r in healed)
+    assert [g[2] for g in got[0]] == [f"{c}{i}" for i in range(40) for c in "AB"] and len({str(g) for g in got.values()}) == 1
+
+
+def test_remembered_is_the_last_page_of_each_key(spark):
+    """Pages that can't come last aren't parsed; a key that later pages lack stays from an earlier one."""
+    job = jobs.job({"target": "https://h.example/", "fields": {"a": {"selector": "i"}, "b": {"selector": "b"}}})
+    rows = [("h", 3, "<b>three</b>"), ("h", 1, "<i>one</i><b>x</b>"), ("h", 2, "<i>two</i>"), ("g", 1, "<i>g</i>"), ("h", None, "<i>none</i>")]
+    frame = spark.createDataFrame(rows, "domain string, seq bigint, html string").coalesce(1)
+    assert sorted((r["domain"], r["key"], r["print"]["text"]) for r in healing.remember(frame, job).collect()) == [("g", "a", "g"), ("h", "a", "two"), ("h", "b", "three")]

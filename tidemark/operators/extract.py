@@ -25,8 +25,7 @@ def value_of(node: dom.Node | None, spec: Field) -> str | None:
 
 
 def first(root: dom.Node, selector: str) -> dom.Node | None:
-    found = dom.select(root, selector)
-    return found[0] if found else None
+    return next(dom.matching(root, selector), None)
 
 
 def typed(job: Job, value: Column) -> list[Column]:

@@ -1,21 +1,23 @@
 """Finding elements again after their selector broke.
 
 A stored fingerprint is scored against every element of a page (or of a row, for a
-listing). Pages and prior fingerprints meet in a join by key; one Arrow map scores a
-page's candidates, since parsing the page is the expensive part.
+listing). Prior fingerprints go to the pages whole where they are counted to be few, else
+they meet in a join by domain; one Arrow map scores a page's candidates, since parsing the
+page is the expensive part. In a listing scores follow from an element's mark and are kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import column_map
+from ..functions.arrow import array, column_map
+from ..session import staged
 from . import dom
 from .extract import first, typed, value_of
 from .jobs import Job
@@ -25,6 +27,12 @@ WEIGHTS = {"tag": 1.5, "id": 3.0, "classes": 1.0, "attrs": 1.0, "text": 3.0, "an
 THRESHOLD = 0.6
 RUNNERS_UP = 4
 VISUAL_RERANK = 5
+#: Characters of stored fingerprints (as JSON) that go to every task; more are joined by domain.
+MAX_KNOWN = 1 << 20
+#: Pages of a domain from which the join spreads it, and over how many parts.
+HOT_DOMAIN, SPREAD = 100_000, 64
+#: Scores that a task keeps by mark, and last pages by key.
+KEPT = 1 << 14
 
 PRINT_DDL = (
     "struct<tag:string,element_id:string,classes:array<string>,attrs:map<string,string>,text:string,"
@@ -103,17 +111,21 @@ class Healed:
 
 
 def heal(
-    old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, with_text: bool = True, hashes: dict[int, int] | None = None, known: dict[int, dict] | None = None
+    old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, with_text: bool = True, hashes: dict[int, int] | None = None, known: dict[int, dict] | None = None,
+    scores: list[float] | None = None,
 ) -> Healed | None:
     """Best candidate for a stored fingerprint, earlier ones winning ties; None without candidates.
 
     Where the stored element and ``hashes`` (by candidate) have images, the best five
-    are scored again with them. ``known``: the page's fingerprints, where made already.
+    are scored again with them. ``known``: the page's fingerprints, where made already;
+    ``scores``: the candidates', which take the place of fingerprints where there are no ``hashes``.
     """
     if not candidates:
         return None
-    prints = [known[id(c)] if known else dom.fingerprint(c, with_text) for c in candidates]
-    ranked = sorted(((-score(old, p), i) for i, p in enumerate(prints)))
+    if scores is None:
+        prints = [known[id(c)] if known else dom.fingerprint(c, with_text) for c in candidates]
+        scores = [score(old, p) for p in prints]
+    ranked = sorted((-s, i) for i, s in enumerate(scores))
     if old.get("visual_hash") is not None and hashes:
         again = {i: -score(old, prints[i] | {"visual_hash": hashes[i]}) for _, i in ranked[:VISUAL_RERANK] if hashes.get(i) is not None}
         ranked = sorted((again.get(i, s), i) for s, i in ranked)
@@ -122,11 +134,14 @@ def heal(
     return Healed(at, -best, -best >= threshold, runners, candidates[at])
 
 
-def container_groups(old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, known: dict[int, dict] | None = None) -> tuple[list[list[dom.Node]], float, bool]:
-    """Groups of two or more confident siblings of one tag, the best score, and whether any was confident."""
+def container_groups(old: dict, candidates: list[dom.Node], threshold: float = THRESHOLD, scores: list[float] | None = None) -> tuple[list[list[dom.Node]], float, bool]:
+    """Groups of two or more confident siblings of one tag, the best score, and whether any was confident.
+
+    ``scores``: the candidates', where known already."""
     best, any_confident, groups = 0.0, False, {}
-    for c in candidates:
-        s = score(old, known[id(c)] if known else dom.fingerprint(c, False))
+    if scores is None:
+        scores = [score(old, dom.fingerprint(c, False)) for c in candidates]
+    for c, s in zip(candidates, scores):
         best = max(best, s)
         if s >= threshold:
             any_confident = True
@@ -151,6 +166,10 @@ def _flat(p: dict) -> dict:
     return p | {"attrs": list(p["attrs"].items()), "descendants": list(p["descendants"].items())}
 
 
+def _known(p: dict) -> dict:
+    return p | {"attrs": dict(p["attrs"] or ()), "descendants": dict(p["descendants"] or ())}
+
+
 def _rows(page: dom.Node, job: Job) -> list[dom.Node]:
     return dom.select(page, job.item) if job.item else [page]
 
@@ -163,9 +182,14 @@ def remember(pages: DataFrame, job: Job) -> DataFrame:
     """
     schema = pa.schema([("domain", pa.string()), ("seq", pa.int64()), ("n", pa.int32()), ("key", pa.string()), ("print", _PRINT)])
 
-    def walk(domains, seqs, texts):
+    keys = [*([f"{job.item}::"] if job.item else []), *(f"{job.item}::{name}" if job.item else name for name in job.fields)]
+
+    def walk(last, domains, seqs, texts):
         out: list[list] = [[] for _ in schema]
         for domain, seq, text in zip(domains, seqs, texts):
+            # n of a key is its place in keys at most: a page that can't come last for any key isn't parsed
+            if seq is not None and all(last.get((domain, key), (seq, -1)) >= (seq, n) for n, key in enumerate(keys)):
+                continue
             page = dom.parse(text)
             roots = _rows(page, job)
             found = {f"{job.item}::": roots[0]} if job.item and roots else {}
@@ -174,14 +198,21 @@ def remember(pages: DataFrame, job: Job) -> DataFrame:
                 if node is not None:
                     found[f"{job.item}::{name}" if job.item else name] = node
             prints = dom.fingerprints(page, not job.item) if found else {}
+            if len(last) > KEPT:
+                last.clear()
             for n, (key, node) in enumerate(found.items()):
+                if seq is not None:
+                    if last.get((domain, key), (seq, -1)) >= (seq, n):
+                        continue
+                    last[domain, key] = (seq, n)
                 for c, v in zip(out, (domain, seq, n, key, _flat(prints[id(node)]))):
                     c.append(v)
         return out
 
-    rows = pages.select("domain", F.col("seq").cast("bigint"), "html").mapInArrow(
-        column_map(walk, schema, 64), f"domain string, seq bigint, n int, key string, print {PRINT_DDL}"
-    )
+    def run(batches):
+        yield from column_map(partial(walk, {}), schema, 64)(batches)
+
+    rows = pages.select("domain", F.col("seq").cast("bigint"), "html").mapInArrow(run, f"domain string, seq bigint, n int, key string, print {PRINT_DDL}")
     return rows.groupBy("domain", "key").agg(F.max_by("print", F.struct("seq", "n")).alias("print"))
 
 
@@ -213,54 +244,106 @@ def heal_extract(pages: DataFrame, job: Job, stored: DataFrame) -> DataFrame:
     ``pos`` -1 when something came close.
     """
 
-    def walk(domains, seqs, texts, keys, prints):
-        out: list[list] = [[] for _ in _HEALED]
+    item = job.item
+    of_field = {name: f"{item}::{name}" if item else name for name in job.fields}
 
-        def put(*row):
+    def walk(few, cache, domains, seqs, texts, *joined):
+        out: list[list] = [[] for _ in range(len(_HEALED) - 1)]
+        at: list[int | None] = []
+        values: list[dict] = []
+        same: dict[dom.Mark, int] = {}
+
+        def put(*row, print=None):
             for c, v in zip(out, row):
                 c.append(v)
+            at.append(print)
 
-        for domain, seq, text, k, p in zip(domains, seqs, texts, keys, prints):
-            known = {a: b | {"attrs": dict(b["attrs"] or ()), "descendants": dict(b["descendants"] or ())} for a, b in zip(k or (), p or ())}
+        for domain, seq, text, *own in zip(domains, seqs, texts, *joined):
+            if cache.get("domain", cache) != domain:
+                known = few.get(domain, {}) if few is not None else {k: _known(p) for k, p in zip(*(x or () for x in own))}
+                cache.update(domain=domain, known=known, scores={})
+            known, kept = cache["known"], cache["scores"]
             page = dom.parse(text)
             roots = _rows(page, job)
-            container = known.get(f"{job.item}::")
-            prints: dict[int, dict] = {}
-
-            def all_prints(page=page, prints=prints):
-                if not prints:
-                    prints.update(dom.fingerprints(page, not job.item))
-                return prints
-
-            if job.item and not roots and container:
-                groups, best, close = container_groups(container, list(page.iter()), known=all_prints())
+            container = known.get(f"{item}::")
+            made: dict = {}
+
+            def all_made(page=page, made=made):
+                if not made:
+                    made.update(dom.marks(page) if item else dom.fingerprints(page))
+                return made
+
+            def scored(key, nodes):
+                own, made, old = kept.setdefault(key, {}), all_made(), known[key]
+                if len(own) > KEPT:
+                    own.clear()
+                got = []
+                for node in nodes:
+                    mark = made[id(node)]
+                    s = own.get(mark)
+                    if s is None:
+                        s = own[mark] = score(old, dom.marked(mark))
+                    got.append(s)
+                return got
+
+            def print_at(node):
+                mark = all_made()[id(node)]
+                i = same.get(mark) if item else None
+                if i is None:
+                    i = len(values)
+                    values.append(_flat(dom.marked(mark) if item else mark))
+                    if item:
+                        same[mark] = i
+                return i
+
+            if item and not roots and container:
+                nodes = list(page.iter())
+                groups, best, close = container_groups(container, nodes, scores=scored(f"{item}::", nodes))
                 if len(groups) == 1:
                     roots = groups[0]
-                    put(domain, seq, -1, job.item, None, True, best, True, locator(roots[0]), _flat(all_prints()[id(roots[0])]))
+                    put(domain, seq, -1, item, None, True, best, True, locator(roots[0]), print=print_at(roots[0]))
                 elif close:
-                    put(domain, seq, -1, job.item, None, True, best, False, None, None)
+                    put(domain, seq, -1, item, None, True, best, False, None)
             for pos, root in enumerate(roots):
                 for name, spec in job.fields.items():
                     node = first(root, spec.selector)
                     if node is not None:
-                        put(domain, seq, pos, name, value_of(node, spec), False, None, None, None, None)
+                        put(domain, seq, pos, name, value_of(node, spec), False, None, None, None)
                         continue
-                    old = known.get(f"{job.item}::{name}" if job.item else name)
-                    pool = list(root.iter())[1 if job.item else 0 :]
-                    found = heal(old, pool, with_text=not job.item, known=all_prints()) if old else None
+                    key = of_field[name]
+                    old, pool = known.get(key), list(root.iter())[1 if item else 0 :]
+                    found = None
+                    if old:
+                        found = heal(old, pool, scores=scored(key, pool)) if item else heal(old, pool, known=all_made())
                     if found is None:
-                        put(domain, seq, pos, name, None, False, None, None, None, None)
+                        put(domain, seq, pos, name, None, False, None, None, None)
                     else:
                         ok = found.confident
                         put(
                             domain, seq, pos, name, value_of(found.node, spec) if ok else None, True, found.score, ok,
-                            locator(found.node), _flat(all_prints()[id(found.node)]) if ok else None,
+                            locator(found.node), print=print_at(found.node) if ok else None,
                         )
-        return out
-
-    by_domain = stored.groupBy("domain").agg(F.collect_list("key").alias("keys"), F.collect_list("print").alias("prints"))
-    rows = pages.select("domain", F.col("seq").cast("bigint").alias("seq"), "html").join(by_domain, "domain", "left")
-    return rows.select("domain", "seq", "html", "keys", "prints").mapInArrow(column_map(walk, _HEALED, 16), HEALED_DDL)
+        return [*out, array(values, _PRINT).take(pa.array(at, pa.int32()))] if at else []
+
+    stored = staged(stored.select("domain", "key", "print"), "fingerprints")
+    size = stored.agg(F.sum(F.length(F.to_json(F.struct("domain", "key", "print"))))).first()[0] or 0
+    rows = pages.select("domain", F.col("seq").cast("bigint").alias("seq"), "html")
+    few: dict[str, dict] | None = None
+    if size <= MAX_KNOWN:
+        few = {}
+        for r in stored.filter("domain is not null").collect():
+            few.setdefault(r["domain"], {})[r["key"]] = _known(r["print"].asDict(recursive=True))
+    else:
+        by_domain = stored.groupBy("domain").agg(F.collect_list("key").alias("keys"), F.collect_list("print").alias("prints"))
+        hot = [r["domain"] for r in rows.groupBy("domain").count().filter(F.col("count") >= HOT_DOMAIN).collect() if r["domain"] is not None]
+        part = lambda many, one: F.when(F.col("domain").isin(hot), many).otherwise(one)
+        by_part = by_domain.withColumn("_part", F.explode(part(F.sequence(F.lit(0), F.lit(SPREAD - 1)), F.array(F.lit(0)))))
+        rows = rows.withColumn("_part", part(F.pmod(F.xxhash64("html"), F.lit(SPREAD)).cast("int"), F.lit(0))).join(by_part, ["domain", "_part"], "left").select("domain", "seq", "html", "keys", "prints")
+
+    def run(batches):
+        yield from column_map(partial(walk, few, {}), _HEALED, 128)(batches)
+
+    return rows.mapInArrow(run, HEALED_DDL)
 
 
 def merged(records: DataFrame, healed: DataFrame, urls: DataFrame, job: Job) -> DataFrame:
