@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import dom, extract, frontier, healing, jobs
-from tidemark.plans import map_queries
+from tidemark.plans import map_queries, pipeline
 
 PAGE = """<html><head><title>T &amp; U</title><script>if (a < b) "</p>"</script></head><body>
 <nav><a href="/one">One</a><a href='two?x=1'>Two</a></nav>
@@ -255,3 +255,18 @@ def test_remembered_is_the_last_page_of_each_key(spark):
     rows = [("h", 3, "<b>three</b>"), ("h", 1, "<i>one</i><b>x</b>"), ("h", 2, "<i>two</i>"), ("g", 1, "<i>g</i>"), ("h", None, "<i>none</i>")]
     frame = spark.createDataFrame(rows, "domain string, seq bigint, html string").coalesce(1)
     assert sorted((r["domain"], r["key"], r["print"]["text"]) for r in healing.remember(frame, job).collect()) == [("g", "a", "g"), ("h", "a", "two"), ("h", "b", "three")]
+
+
+def test_healed_run_parses_a_page_once(spark, monkeypatch):
+    """A run that heals takes its records, by selector or healed, from one pass over the pages."""
+    job = jobs.job({"target": "https://h.example/none", "item": "li.card", "fields": {"name": {"selector": "h3.n"}, "price": {"selector": ".p", "type": "number"}}})
+    before = healing.remember(spark.createDataFrame([("h.example", 1, listing(["A", "B", "C"]))], "domain string, seq bigint, html string"), job)
+    old, new = listing(["D", "E"]), listing(["F", "G"], css="tile").replace('class="n"', 'class="t"')
+    half = listing(["H", "I"]).replace('class="n"', 'class="t"')
+    rows = [("https://h.example/1", 200, old), ("https://h.example/2", 200, new), ("https://h.example/3", 200, listing(["J"], css="tile")), ("https://h.example/4", 200, half)]
+    pages = spark.createDataFrame(rows, "url string, status int, html string")
+    monkeypatch.setattr(extract, "extract", lambda *a, **k: pytest.fail("pages are parsed for their records again"))
+    monkeypatch.setattr(extract, "page_links", lambda *a, **k: pytest.fail("pages are parsed for links that no job asks for"))
+    run = pipeline.run_tier(pipeline.Tier("plain", pages), job, fingerprints=before, seeds=pages.select("url"), budget=None)
+    got = sorted((r["url"][-1], r["pos"], r["name"], r["price"]) for r in run.records.collect())
+    assert got == [("1", 0, "D", 0.5), ("1", 1, "E", 1.5), ("2", 0, "F", 0.5), ("2", 1, "G", 1.5), ("4", 0, "H", 0.5), ("4", 1, "I", 1.5)]

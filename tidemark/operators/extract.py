@@ -102,6 +102,8 @@ def discover_links(pages: DataFrame, job: Job) -> DataFrame:
     """
     limit = job.get("crawl", "max_depth")
     crawling = job.options.get("crawl") is not None
+    if not crawling and not job.get("pagination", "next"):  # no link would be kept: nothing is parsed
+        return pages.filter(F.lit(False)).select("url", F.lit(None).cast("string").alias("link"), F.col("depth").cast("int"), F.lit(0).alias("pos"))
     deep = pages.filter(F.col("depth") + 1 <= limit) if crawling and limit is not None else pages
     links = page_links(deep if crawling else pages, job.get("pagination", "next"))
     if crawling and limit is not None and job.get("pagination", "next"):

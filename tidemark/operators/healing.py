@@ -346,21 +346,17 @@ def heal_extract(pages: DataFrame, job: Job, stored: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, HEALED_DDL)
 
 
-def merged(records: DataFrame, healed: DataFrame, urls: DataFrame, job: Job) -> DataFrame:
-    """Records with healed values where their selectors gave none, and the rows of healed listings.
+def records(healed: DataFrame, urls: DataFrame, job: Job) -> DataFrame:
+    """Records of pages by selector, with healed values where a selector gave none, and the rows of healed listings.
 
-    ``records``: url, pos, fields; ``healed``: :func:`heal_extract`; ``urls``: (url, seq) of its
-    pages. Values found without confidence stay null.
+    ``healed``: :func:`heal_extract`, which reads every field of every row, so no page is parsed again; ``urls``:
+    (url, seq) of its pages. Values found without confidence stay null.
     """
-    used = healed.filter("healed and used and pos >= 0 and value is not null")
-    rows = healed.filter("pos >= 0").select("seq", "pos").distinct()
-    wide = used.groupBy("seq", "pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_v"))
-    kept = healed.filter("pos >= 0 and not healed and value is not null").groupBy("seq", "pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_w"))
-    found = rows.join(wide, ["seq", "pos"], "left").join(kept, ["seq", "pos"], "left").join(urls.select("url", "seq"), "seq").drop("seq")
-    both = records.join(found, ["url", "pos"], "full_outer")
-    text = lambda name: F.coalesce(F.try_element_at("_v", F.lit(name)), F.try_element_at("_w", F.lit(name)))
-    new = typed(job, F.array(*(text(name) for name in job.fields)))
-    return both.select("url", "pos", *(F.coalesce(F.col(f"`{name}`"), v).alias(name) for name, v in zip(job.fields, new)))
+    value = lambda name: F.max(F.when(F.col("field") == name, F.col("value")))  # noqa: E731  # one row per field
+    wide = healed.filter("pos >= 0").groupBy("seq", "pos").agg(F.array(*(value(name) for name in job.fields)).alias("_v"))
+    # urls are far more than the size of their file shows: never broadcast by it
+    found = wide.join(urls.select("url", "seq").hint("merge"), "seq")
+    return found.select("url", "pos", *typed(job, F.col("_v")))
 
 
 def heal_events(healed: DataFrame) -> DataFrame:

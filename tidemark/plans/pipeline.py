@@ -44,7 +44,7 @@ def run_tier(tier: Tier, job: Job, on_response: Hook | None = None, validators:
     Validators are kept from what the server sent; the hook works on what is extracted.
     """
     out = frontier.crawl(tier.pages, job, **crawl)
-    got = staged(out["visited"].join(tier.pages, "url"), "visited_pages")
+    got = staged(out["visited"].join(tier.pages.hint("merge"), "url"), "visited_pages")
     unchanged = got.select("url").limit(0)
     fresh, kept = got, validators
     if validators is not None and job.options.get("change_detection"):
@@ -57,12 +57,14 @@ def run_tier(tier: Tier, job: Job, on_response: Hook | None = None, validators:
         fresh = seen.filter("not unchanged").withColumnRenamed("body", "html")
         kept = change.record(asked, validators)
     pages = on_response(fresh) if on_response else fresh
-    records = extract.extract(pages, job)
     healed = None
     if fingerprints is not None:
         parts = pages.select(web.authority(F.col("url")).alias("domain"), F.xxhash64("url").alias("seq"), "html")
         healed = staged(healing.heal_extract(parts, job, fingerprints), "healed")
-        records = healing.merged(records, healed, pages.select("url", F.xxhash64("url").alias("seq")), job)
+    if healed is not None and job.fields:
+        records = healing.records(healed, pages.select("url", F.xxhash64("url").alias("seq")), job)
+    else:
+        records = extract.extract(pages, job)
     challenge = frontier.challenge_of_run(pages.select(F.lit(0).alias("run_id"), "seq", "html"))
     outcomes = {"visited": got, "unchanged": unchanged, "challenge": challenge, **{k: out[k] for k in ("blocked", "dead", "rest", "seen")}}
     return Result(tier.name, records, outcomes, healed, kept)
