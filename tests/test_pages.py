@@ -270,3 +270,21 @@ def test_healed_run_parses_a_page_once(spark, monkeypatch):
     run = pipeline.run_tier(pipeline.Tier("plain", pages), job, fingerprints=before, seeds=pages.select("url"), budget=None)
     got = sorted((r["url"][-1], r["pos"], r["name"], r["price"]) for r in run.records.collect())
     assert got == [("1", 0, "D", 0.5), ("1", 1, "E", 1.5), ("2", 0, "F", 0.5), ("2", 1, "G", 1.5), ("4", 0, "H", 0.5), ("4", 1, "I", 1.5)]
+
+
+def test_levels_are_not_broadcast_by_file_size(spark, monkeypatch):
+    """Urls compress to a few bytes a row: a level must not go to the driver because its file is small."""
+    plans, stage = [], frontier.staged
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label)
+
+    monkeypatch.setattr(frontier, "staged", noted)
+    pages = spark.range(50).select(F.concat(F.lit("https://h.example/"), "id").alias("url"), F.lit(200).alias("status"), F.lit("<p>x</p>").alias("html"))
+    job = jobs.job({"target": "https://h.example/none"})
+    out = frontier.crawl(pages, job, seeds=pages.select("url"), budget=None)
+    assert out["visited"].count() == 50 and out["rest"].count() == 0
+    plans.append(("rest", out["rest"]._jdf.queryExecution().executedPlan().toString()))
+    assert not [label for label, plan in plans if "BroadcastHashJoin" in plan and "LeftAnti" in plan]
+    assert "BroadcastHashJoin" not in out["visited"]._jdf.queryExecution().executedPlan().toString()

@@ -40,6 +40,8 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
     runs on; the budget is this run's own.
     """
     spark = pages.sparkSession
+    # staged urls and texts are a few bytes a row in their files: judged by these they would be broadcast by the million
+    pages, by_key = pages.hint("merge"), lambda df: df.select("url").hint("merge")
     start = spark.createDataFrame([(job.target, 0, 0)], "url string, depth int, seq bigint")
     queue = start
     if seeds is not None:
@@ -48,7 +50,7 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
     done = staged((seen.select("url") if seen is not None else spark.createDataFrame([], "url string")), "seen")
     visited, blocked, dead, level, left = [], [], [], 0, budget
     while left is None or left > 0:
-        fresh = first_seen(queue).join(done, "url", "left_anti")
+        fresh = first_seen(queue).join(by_key(done), "url", "left_anti")
         taken = staged(fresh if left is None else fresh.orderBy("seq", "url").limit(left), "frontier")
         n = taken.count()
         if n == 0:
@@ -63,7 +65,7 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
         visited.append(good.select("url", "depth", F.lit(level).alias("level"), "seq"))
         links = discover_links(good.select("url", "depth", "html"), job)
         order = links.join(good.select("url", F.col("seq").alias("_s")), "url")
-        after = first_seen(queue).join(taken.select("url"), "url", "left_anti").join(done, "url", "left_anti")
+        after = first_seen(queue).join(by_key(taken), "url", "left_anti").join(by_key(done), "url", "left_anti")
         ranked = dense_rank(order.select(F.col("link").alias("url"), "depth", F.struct("_s", "pos").alias("_k")), "_k", "seq")
         ranked = ranked.withColumn("seq", F.col("seq") + F.lit((level + 1) << 40))
         queue = staged(after.select("url", "depth", "seq").unionByName(ranked.select("url", "depth", "seq")), "queue")
@@ -74,7 +76,7 @@ def crawl(pages: DataFrame, job: Job, seeds: DataFrame | None = None, seen: Data
         "visited": union(visited, "url string, depth int, level int, seq bigint"),
         "blocked": union(blocked, "url string, depth int"),
         "dead": union(dead, "url string, depth int, status int"),
-        "rest": first_seen(queue).join(done, "url", "left_anti").select("url", "depth"),
+        "rest": first_seen(queue).join(by_key(done), "url", "left_anti").select("url", "depth"),
         "seen": done,
     }
 
